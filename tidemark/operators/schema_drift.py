@@ -51,32 +51,41 @@ def ingest(files: DataFrame, numbers: Sequence[str], texts: Sequence[str] = KEY)
     tokens in a number column; null when there is none. Fields beyond the header are rescued as ``_field_<n>``. Of
     fields with the same name the first counts. Blank lines are no records.
     """
+    targets = [*texts, *numbers]
     lines = files.filter(F.col("file_id").isNotNull() & F.col("content").isNotNull()).select("file_id", F.split("content", "\n").alias("_lines"))
     header = F.transform(split_fields(without_cr(F.element_at("_lines", 1))), lambda x: F.lower(trim_blanks(x)))
-    rows = lines.select("file_id", header.alias("_names"), F.posexplode("_lines").alias("_pos", "_line")).filter(F.col("_pos") > 0)
-    rows = rows.select("file_id", (F.col("_pos") + 1).alias("line_no"), "_names", without_cr(F.col("_line")).alias("_line")).filter(F.col("_line") != "")
-    rows = rows.withColumn("_values", split_fields(F.col("_line")))
-    at = F.transform("_values", lambda x, i: F.struct(F.coalesce(F.get("_names", i), F.concat(F.lit("_field_"), (i + 1).cast("string"))).alias("k"), x.alias("v")))
-    rows = rows.withColumn("_cells", at)
-    keys = F.transform("_cells", lambda c: c["k"])
-    firsts = F.filter("_cells", lambda c, i: F.array_position(F.transform("_cells", lambda d: d["k"]), c["k"]) == i + 1)
-    plain = F.size(F.array_distinct(keys)) == F.size(keys)
-    rows = rows.withColumn("_m", F.map_from_entries(F.when(plain, F.col("_cells")).otherwise(firsts)))
-
-    def cell(name: str) -> Column:
-        return trim_blanks(F.try_element_at("_m", F.lit(name)))
-
-    known_numbers = F.array(*(F.lit(n) for n in numbers)) if numbers else F.array().cast("array<string>")
-    kept = F.map_filter(
-        "_m",
-        lambda k, v: ~k.isin([*numbers, *texts]) | (F.array_contains(known_numbers, k) & ~is_missing(trim_blanks(v)) & to_number(trim_blanks(v)).isNull()),
-    )
+    # once per file: where each target field stands, and for each field whether it is a target number, known, or unknown
+    placed = lines.select("file_id", "_lines", header.alias("_names"))
+    number_names, known = (F.array(*(F.lit(n) for n in names)).cast("array<string>") for names in (numbers, targets))
+    kind = F.transform("_names", lambda n, i: F.when(F.array_position("_names", n) != i + 1, "dropped").when(F.array_contains(number_names, n), "number").when(F.array_contains(known, n), "text").otherwise("unknown"))
+    at = F.transform(known, lambda t: F.array_position("_names", t).cast("int") - 1)
+    rows = placed.select("file_id", "_names", kind.alias("_kinds"), at.alias("_at"), "_lines")
+    rows = rows.select("file_id", "_names", "_kinds", "_at", F.posexplode("_lines").alias("_pos", "_line")).filter(F.col("_pos") > 0)
+    rows = rows.withColumn("_line", without_cr(F.col("_line"))).filter(F.col("_line") != "")
+    rows = rows.select("file_id", (F.col("_pos") + 1).alias("line_no"), "_names", "_kinds", "_at", F.transform(split_fields(F.col("_line")), trim_blanks).alias("_values"))
+    rows = rows.withColumn("_numbers", F.transform("_values", lambda v: F.when(~is_missing(v), to_number(v))))
+    # zipped, not looked up by index in a lambda: what a lambda captures may be evaluated anew for each element
+    cells = F.arrays_zip("_values", "_numbers", "_names", "_kinds")
+    kept = F.filter(cells, lambda c: c["_values"].isNotNull() & F.coalesce((c["_kinds"] == "unknown") | ((c["_kinds"] == "number") & c["_numbers"].isNull() & ~is_missing(c["_values"])), F.lit(True)))
+    surplus = lambda i: F.concat(F.lit("_field_"), (i + 1).cast("string"))
+    named = F.transform(cells, lambda c, i: F.struct(c["_values"], c["_numbers"], F.coalesce(c["_names"], surplus(i)).alias("_names"), c["_kinds"]))
+    long = F.size("_values") > F.size("_names")
+    kept = F.when(long, F.filter(named, lambda c: F.coalesce((c["_kinds"] == "unknown") | ((c["_kinds"] == "number") & c["_numbers"].isNull() & ~is_missing(c["_values"])), F.lit(True)))).otherwise(kept)
+    rows = rows.withColumn("_kept", F.transform(kept, lambda c: F.struct(c["_names"].alias("key"), c["_values"].alias("value"))))
+
+    def place(values: str, i: int) -> Column:
+        where = F.get("_at", F.lit(i))
+        return F.when(where >= 0, F.get(values, where))
+
+    def text(i: int) -> Column:
+        return F.when(~is_missing(place("_values", i)), place("_values", i))
+
     return rows.select(
         "file_id",
         "line_no",
-        *(F.when(~is_missing(cell(t)), cell(t)).alias(t) for t in texts),
-        *(to_number(cell(n)).alias(n) for n in numbers),
-        F.when(F.size(kept) > 0, F.to_json(kept)).alias("_rescued"),
+        *(text(i).alias(t) for i, t in enumerate(texts)),
+        *(place("_numbers", i + len(texts)).alias(n) for i, n in enumerate(numbers)),
+        F.when(F.size("_kept") > 0, F.to_json(F.map_from_entries("_kept"))).alias("_rescued"),
     )
 
 
