@@ -3,11 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import encoding, packing, sentences
+from tidemark.llm import encoding, matching, packing, sentences
 from tidemark.sources import table
 
 
+def p2_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every bet's most likely game with the confidence, whether high or low."""
+    names = ("market_signal_live_matches", "market_signal_live_unmatched", "line_history", "schedule")
+    return matching.match(*(table(spark, sf_dir, n) for n in names))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_matches(spark, sf_dir).filter(F.col("confidence") > matching.THRESHOLD).select("bet_id", "game_key")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode(table(spark, sf_dir, "documents"))
 
@@ -25,5 +36,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentences(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_found": p7_found, "p8_found": p8_found}
+QUERIES = {"p2_found": p2_found, "p2_matches": p2_matches, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_found": p7_found, "p8_found": p8_found}
 ORACLE_SQL: dict[str, str] = {}
