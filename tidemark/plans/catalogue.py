@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.plans import ingestion
+from tidemark.plans import ingestion, ingestion_sql, panel, panel_sql
 
-FLAGSHIP = "p3_found"
-QUERIES = {**ingestion.QUERIES}
-ORACLE_SQL: dict[str, str] = {}
+FLAGSHIP = "cohort_bets"
+QUERIES = {**panel.QUERIES, **ingestion.QUERIES}
+ORACLE_SQL: dict[str, str] = {**panel_sql.SQL, **ingestion_sql.SQL}
