@@ -135,9 +135,11 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY
     counts = checkpoint(token_counts(docs, vocabulary).filter(F.col("n_tokens") > 0))
     total = counts.agg(F.sum("n_tokens")).first()[0] or 0
     shards = max(1, round(total / shard_tokens))
-    texts = docs.filter(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("seal"), "text").dropDuplicates(["doc_id", "seal"]).alias("t")
-    sized = texts.join(counts.alias("c"), F.col("t.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("t.seal") == F.col("c.seal"))).select("t.*", "c.n_tokens")
-    # ids go to Python as text, where a null does not turn integers into floats
-    named = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id", "seal"), F.lit(shards)).cast("int")).withColumn("doc_id", F.col("doc_id").cast("string"))
+    # ids as texts: a key without nulls, by which texts are told apart and joined in one shuffle; in Python, where a null
+    # would turn integers into floats, they stay texts
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")).alias("name")
+    texts = docs.filter(F.col("text").isNotNull()).select(name, F.xxhash64("text").alias("seal"), "text").dropDuplicates(["name", "seal"])
+    sized = texts.join(counts.select(name, "seal", "n_tokens"), ["name", "seal"])
+    named = sized.withColumn("shard", F.pmod(F.xxhash64("name", "seal"), F.lit(shards)).cast("int")).withColumnRenamed("name", "doc_id")
     packed = named.groupBy("shard").applyInPandas(_pack_shard(capacity), "doc_id string, piece_no int, container_id bigint, n_tokens int")
-    return packed.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
+    return packed.withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit("\0")).cast(docs.schema["doc_id"].dataType))
