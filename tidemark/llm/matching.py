@@ -31,7 +31,7 @@ CHUNKS, BITS, HASHES = 8, 16, 2
 RADIUS = 2 * CHUNKS - 1
 #: Names below this Dice score are no candidates.
 LEAST_DICE = 0.58
-#: Copies of a mention's games; a bet meets the one of its own hash.
+#: Copies of each name and game; a bet meets those of its own hash.
 SALTS = 8
 #: Rounds of the fit.
 ROUNDS = 40
@@ -248,15 +248,14 @@ def candidates(bets: DataFrame, sides: DataFrame) -> DataFrame:
     own = bets.filter(F.col("team").isNotNull())
     mentions = own.select(*stream, F.explode(F.array_compact(F.array("team", "opponent"))).alias("mention"))
     names = checkpoint(close_names(mentions, sides))
-    # what a mention may be, with its games: repeated for every salt, for one team may have a third of all bets
-    g = sides.select(*stream, F.col("team").alias("_team"), F.col("other").alias("_other"), "game_key", "side", "kickoff_on", "open", "midweek", "close", "actual")
-    meant = names.select(*stream, F.col("mention").alias("team"), F.col("team").alias("_team"), "dice", "kind").join(g, [*stream, "_team"])
-    meant = meant.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    pairs = own.withColumn("_salt", F.pmod(F.xxhash64("bet_id"), F.lit(SALTS)).cast("int")).join(meant, [*stream, "team", "_salt"])
+    # one team may have a third of all bets: names and games are repeated for every salt, and a bet meets those of its own
+    salted = lambda df: df.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    meant = salted(names.select(*stream, F.col("mention").alias("team"), F.col("team").alias("_team"), "dice", "kind"))
+    g = salted(sides.select(*stream, F.col("team").alias("_team"), F.col("other").alias("_other"), "game_key", "side", "kickoff_on", "open", "midweek", "close", "actual"))
+    pairs = own.withColumn("_salt", F.pmod(F.xxhash64("bet_id"), F.lit(SALTS)).cast("int")).join(meant, [*stream, "team", "_salt"]).join(g, [*stream, "_team", "_salt"])
     # the opponent's name, where the bet gives one
     rivals = names.select(*stream, F.col("mention").alias("opponent"), F.col("team").alias("_other"), ((F.col("dice") == 1.0) & (F.col("kind") == "full")).alias("_met"))
-    rivals = rivals.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    told = pairs.filter(F.col("opponent").isNotNull()).join(rivals, [*stream, "opponent", "_other", "_salt"], "left")
+    told = pairs.filter(F.col("opponent").isNotNull()).join(salted(rivals), [*stream, "opponent", "_other", "_salt"], "left")
     pairs = pairs.filter(F.col("opponent").isNull()).withColumn("_met", F.lit(None).cast("boolean")).unionByName(told)
     days = F.date_diff("kickoff_on", "bet_on")
     apart = F.least(*(F.abs(F.col("spread") + F.col(m)) for m in ("open", "midweek", "close")))
