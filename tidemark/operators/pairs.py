@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.consensus import DIGITS, EPS, GAME, edge
+from tidemark.operators.consensus import DIGITS, EPS, edge
 from tidemark.sources import checkpoint
 
 
@@ -15,16 +15,21 @@ def pearson(n: Column, sx: Column, sy: Column, sxx: Column, syy: Column, sxy: Co
     return F.when((vx > 1e-9) & (vy > 1e-9), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (n * sxy - sx * sy) / F.sqrt(vx * vy))))
 
 
-def pairwise_correlation(cell: DataFrame, value: str = "edge", least: int = 30) -> DataFrame:
-    """model_a < model_b, shared, r: over the games that both forecast.
+def _game_pairs(cell: DataFrame, value: Column) -> DataFrame:
+    """game_key, a, b (structs of model and v, a's model first): the pairs of models within each game.
 
     A game's models meet within the game's own row, whose length is the number of models (the registry's size), so the
     work is games times models squared at most and no model is a hot key of a self-join.
     """
+    held = cell.groupBy("game_key").agg(F.sort_array(F.collect_list(F.struct("model", value.alias("v")))).alias("m"))
+    first = held.select("game_key", "m", F.posexplode("m").alias("i", "a"))
+    return first.select("game_key", "a", F.explode(F.slice("m", F.col("i") + 2, F.greatest(F.size("m") - F.col("i") - 1, F.lit(0)))).alias("b"))
+
+
+def pairwise_correlation(cell: DataFrame, value: str = "edge", least: int = 30) -> DataFrame:
+    """model_a < model_b, shared, r: over the games that both forecast; null where one side does not vary."""
     x = cell.filter(F.col("market").isNotNull()).withColumn("edge", edge(F.col("pred"), F.col("market")))
-    held = x.groupBy("game_key").agg(F.sort_array(F.collect_list(F.struct("model", F.col(value).alias("v")))).alias("m"))
-    first = held.select("m", F.posexplode("m").alias("i", "a"))
-    both = first.select("a", F.explode(F.slice("m", F.col("i") + 2, F.greatest(F.size("m") - F.col("i") - 1, F.lit(0)))).alias("b"))
+    both = _game_pairs(x, F.col(value))
     a, b = F.col("a.v"), F.col("b.v")
     s = both.groupBy(F.col("a.model").alias("model_a"), F.col("b.model").alias("model_b")).agg(
         F.count("*").alias("shared"), F.sum(a).alias("sx"), F.sum(b).alias("sy"), F.sum(a * a).alias("sxx"), F.sum(b * b).alias("syy"), F.sum(a * b).alias("sxy")
@@ -35,11 +40,10 @@ def pairwise_correlation(cell: DataFrame, value: str = "edge", least: int = 30)
 
 def effective_n(cell: DataFrame, corr: DataFrame) -> DataFrame:
     """Per game: n and n^2 over the sum of |r| of its models' pairs (1 with itself, 0 where unknown), within 1 to n."""
-    g = cell.select("game_key", "model")
     r = corr.select("model_a", "model_b", F.abs(F.coalesce("r", F.lit(0.0))).alias("r"))
-    both = g.withColumnRenamed("model", "model_a").join(r, "model_a").join(g.withColumnRenamed("model", "model_b"), ["game_key", "model_b"])
-    off = both.groupBy("game_key").agg(F.sum("r").alias("s"))
-    n = g.groupBy("game_key").agg(F.count("*").alias("n"))
+    met = _game_pairs(cell, F.lit(0)).select("game_key", F.col("a.model").alias("model_a"), F.col("b.model").alias("model_b"))
+    off = met.join(r, ["model_a", "model_b"]).groupBy("game_key").agg(F.sum("r").alias("s"))
+    n = cell.groupBy("game_key").agg(F.count("*").alias("n"))
     eff = F.col("n") * F.col("n") / (F.col("n") + 2 * F.coalesce("s", F.lit(0.0)))
     return n.join(off, "game_key", "left").select("game_key", "n", F.round(F.greatest(F.lit(1.0), F.least(F.col("n").cast("double"), eff)), 6).alias("effective_n"))
 
@@ -121,7 +125,3 @@ def greedy_diverse(ranked: DataFrame, corr: DataFrame, most: int = 12, ceiling:
         if worst < ceiling and len(taken) < most:
             taken.append((len(taken) + 1, m, float(worst)))
     return ranked.sparkSession.createDataFrame(taken, "place int, model string, worst double")
-
-
-def game_cells(cell: DataFrame) -> DataFrame:
-    return cell.select(*GAME, "model", "pred", "market", "actual")

@@ -30,4 +30,37 @@ bad AS (SELECT DISTINCT file_id, line_no FROM y WHERE CASE WHEN n IN ('road', 'h
 SELECT r.file_id, r.line_no, CASE WHEN raw_line IS NULL THEN 'column_count' WHEN NOT quoted THEN 'quoting' WHEN len(vals) <> len(names) THEN 'column_count' ELSE 'bad_value' END AS fail_reason
 FROM r LEFT JOIN bad ON r.file_id = bad.file_id AND r.line_no = bad.line_no WHERE raw_line IS NULL OR NOT quoted OR len(vals) <> len(names) OR bad.file_id IS NOT NULL"""
 
-SQL: dict[str, str] = {"p3_found": P3, "p1_found": P1}
+
+
+def _cells(table: str, label: str, ts: str, condition: str, kind: str) -> str:
+    return f"""(SELECT '{table}' AS table_name, * FROM (SELECT sport_key, season, {label} AS load_label, {ts} AS load_at, COLUMNS(lambda x: {condition})::{kind} FROM {table} WHERE {label} IS NOT NULL)
+      UNPIVOT INCLUDE NULLS (v FOR column_name IN (COLUMNS(* EXCLUDE (sport_key, season, load_label, load_at)))))"""
+
+
+_NUMBERS = " UNION ALL ".join(
+    (
+        _cells("ncaapredictions", "snapshot_label", "snapshot_ts", "x LIKE 'line%' OR x IN ('phcover', 'phwin', 'neutral')", "DOUBLE"),
+        _cells("model_ranking_2026", "load_label", "load_ts", "x IN ('model_mse', 'model_mae', 'history_n', 'coverage_fraction')", "DOUBLE"),
+    )
+)
+_TEXTS = " UNION ALL ".join(
+    (
+        _cells("ncaapredictions", "snapshot_label", "snapshot_ts", "x IN ('road', 'home')", "VARCHAR"),
+        _cells("model_ranking_2026", "load_label", "load_ts", "x IN ('canonical_model_id', 'selection_tier')", "VARCHAR"),
+    )
+)
+_KEYS = "table_name, sport_key, season, load_label, column_name"
+P5 = f"""WITH n0 AS (SELECT {_KEYS}, load_at, CASE WHEN isnan(v) THEN NULL ELSE v + 0.0 END AS v FROM ({_NUMBERS})),
+np AS (SELECT {_KEYS}, min(load_at) AS load_at, count(*) AS n_rows, count(*) - count(v) AS n_missing, count(DISTINCT v) AS n_distinct, min(v) AS lo, max(v) AS hi,
+  quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.75) AS q3, 0 AS n_bad FROM n0 GROUP BY {_KEYS}),
+t0 AS (SELECT x.*, text_pattern FROM ({_TEXTS}) x JOIN column_limits USING (table_name, column_name)),
+tp AS (SELECT {_KEYS}, min(load_at) AS load_at, count(*) AS n_rows, count(*) FILTER (WHERE v IS NULL OR regexp_full_match(v, '[\\s\\x0b\\x{{85}}\\p{{Z}}]*')) AS n_missing,
+  count(DISTINCT v) FILTER (WHERE NOT regexp_full_match(v, '[\\s\\x0b\\x{{85}}\\p{{Z}}]*')) AS n_distinct, NULL::DOUBLE AS lo, NULL::DOUBLE AS hi, NULL::DOUBLE AS q1, NULL::DOUBLE AS median, NULL::DOUBLE AS q3,
+  count(*) FILTER (WHERE NOT regexp_full_match(v, '[\\s\\x0b\\x{{85}}\\p{{Z}}]*') AND NOT regexp_full_match(v, text_pattern)) AS n_bad FROM t0 GROUP BY {_KEYS}),
+p AS (SELECT u.*, min_ok, max_ok, n_rows - n_missing AS n, lag(n_missing / n_rows) OVER w AS m0, lag(n_rows - n_missing) OVER w AS n0, lag(n_distinct) OVER w AS d0, lag(q3 - q1) OVER w AS iqr, lag(median) OVER w AS med0
+  FROM (FROM np UNION ALL FROM tp) u JOIN column_limits USING (table_name, column_name) WINDOW w AS (PARTITION BY table_name, sport_key, season, column_name ORDER BY load_at, load_label)),
+i AS (SELECT {_KEYS}, unnest([CASE WHEN lo < min_ok OR hi > max_ok THEN 'range' END, CASE WHEN n_bad > 0 THEN 'pattern' END, CASE WHEN n_missing / n_rows - m0 > 0.33 THEN 'missing' END,
+  CASE WHEN n >= 5 AND n_distinct = 1 AND d0 >= 5 THEN 'constant' END, CASE WHEN n >= 5 AND n0 >= 5 AND iqr > 0 AND abs(median - med0) > 2 * iqr THEN 'shift' END]) AS issue FROM p)
+SELECT * FROM i WHERE issue IS NOT NULL"""
+
+SQL: dict[str, str] = {"p3_found": P3, "p1_found": P1, "p5_found": P5}

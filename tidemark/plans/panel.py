@@ -354,6 +354,62 @@ def ranking_latest(spark, d):
     return t.join(last, ["sport_key", "season", "load_label"]).select("sport_key", "season", "load_label", "canonical_model_id", "quality_rank").distinct()
 
 
+def edge_slope(spark, d):
+    """Per model: the slope of cover on edge, shrunk by n / (n + 100); null where its edges do not vary."""
+    m = _model_games(spark, d).withColumn("cover", F.round(F.col("actual") - F.col("market"), C.DIGITS)).filter(F.col("edge").isNotNull() & F.col("cover").isNotNull())
+    x, y = F.col("edge"), F.col("cover")
+    s = m.groupBy("model").agg(F.count("*").alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * x).alias("sxx"), F.sum(x * y).alias("sxy"))
+    n, v = F.col("n"), F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")
+    slope = F.when(v > 1e-9, (n * F.col("sxy") - F.col("sx") * F.col("sy")) / v)
+    return s.select("model", "n", F.round(slope, 5).alias("slope"), F.round(slope * n / (n + 100.0), 5).alias("shrunk"))
+
+
+def posting_models(spark, d):
+    """Per period: models that post, that posted in the period before too, and that are new since all earlier ones."""
+    c = _cells(spark, d).select("sport_key", "season", "wk", "model").distinct()
+    per = walkforward.period_coverage(_cells(spark, d)).select("sport_key", "season", "wk", "period")
+    p = c.join(per, ["sport_key", "season", "wk"])
+    w = Window.partitionBy("sport_key", "model").orderBy("period")
+    q = p.withColumn("last", F.lag("period").over(w))
+    return q.groupBy("sport_key", "period").agg(F.count("*").alias("models"), F.count_if(F.col("last") == F.col("period") - 1).alias("stayed"), F.count_if(F.col("last").isNull()).alias("new"))
+
+
+def holdout_split(spark, d):
+    """The last three scorable periods of each sport held out: games and the consensus' record on either side."""
+    per = walkforward.period_coverage(_cells(spark, d))
+    role = F.when(F.col("period") > F.max("period").over(Window.partitionBy("sport_key")) - 3, "holdout").otherwise("discovery")
+    return C.rates(_graded(spark, d).join(per.select("sport_key", "season", "wk", role.alias("role")), ["sport_key", "season", "wk"]).groupBy("sport_key", "role").agg(F.count("*").alias("games"), *C.record()))
+
+
+def forward_stability(spark, d):
+    """Per model: win rates of its seasons' blocks of four weeks, their mean and spread, and weighted by recency."""
+    m = _model_games(spark, d).filter(F.col("grade").isin("win", "loss"))
+    b = m.groupBy("model", "season", F.floor((F.col("wk") - 1) / 4).cast("int").alias("block")).agg(F.avg((F.col("grade") == "win").cast("double")).alias("ats"), F.count("*").alias("n")).filter(F.col("n") >= 5)
+    age = F.row_number().over(Window.partitionBy("model").orderBy(F.col("season").desc(), F.col("block").desc())) - 1
+    b = b.withColumn("w", F.pow(F.lit(0.5), age / 2.0))
+    mean, sd = F.avg("ats"), F.coalesce(F.stddev_samp("ats"), F.lit(0.0))
+    return b.groupBy("model").agg(F.count("*").alias("blocks"), F.round(mean, 6).alias("mean_ats"), F.round(mean - sd, 6).alias("stable"), F.round(F.sum(F.col("w") * F.col("ats")) / F.sum("w"), 6).alias("recent"))
+
+
+def paired_references(spark, d):
+    """Per pair of line references: weeks in which the picks at either line won more often."""
+    s = _selections(spark, d).filter((F.col("side") != 0) & F.col("actual").isNotNull()).select("game_key", "reference", "line", "side", "actual")
+    s = s.join(C.game_reference(C.oriented(C.latest_panel(table(spark, d, "panel")))).select("game_key", "season", "wk"), "game_key")
+    won = F.round(F.col("side") * (F.col("actual") - F.col("line")), C.DIGITS)
+    r = s.groupBy("season", "wk", "reference").agg(F.avg(F.when(won > 0, 1.0).when(won < 0, 0.0)).alias("ats"))
+    a, b = r.select("season", "wk", F.col("reference").alias("reference_a"), F.col("ats").alias("x")), r.select("season", "wk", F.col("reference").alias("reference_b"), F.col("ats").alias("y"))
+    j = a.join(b, ["season", "wk"]).filter(F.col("reference_a") < F.col("reference_b"))
+    return j.groupBy("reference_a", "reference_b").agg(F.count("*").alias("weeks"), F.count_if(F.col("x") > F.col("y")).alias("a_better"), F.count_if(F.col("x") < F.col("y")).alias("b_better"))
+
+
+def board_matrix(spark, d):
+    """The last snapshots' games by three of the models: a pivot over known columns."""
+    b = table(spark, d, "ncaapredictions")
+    long = boards.wide_to_long(boards.latest_snapshot(boards.board_records(b)), boards.model_columns(b))
+    cols = ["linenewbury", "linemoore", "linedial"]
+    return long.groupBy("sport_key", "season", "road", "home").pivot("board_column", cols).agg(F.max("pred"))
+
+
 def _registry(spark, d):
     """The models of the panel that the registry names: a fixed table."""
     return sorted(r[0] for r in table(spark, d, "models").select("canonical_model_id").filter("canonical_model_id is not null").distinct().collect())
@@ -377,6 +433,7 @@ NAMES = [
     "corr_components", "upgma_clusters", "greedy_cohort", "leave_one_out", "contribution_common", "open_line_qc", "reference_performance", "fixed_bet_repricing", "bet_set_overlap", "signal_migration", "spread_regimes",
     "period_coverage", "oos_folds", "prior_model_stats", "bias_corrected_walkforward", "inverse_mse_walkforward", "market_lambda_walkforward", "market_anchored_ols", "incremental_rank", "edge_calibration", "equity_drawdown",
     "losing_streak", "sign_test", "combo_search", "combo_leaderboard", "combo_pair_frequency", "jaccard_pairs", "meta_frame", "stable_k", "board_long", "board_consensus", "line_moves", "source_precedence", "completed_excluded",
-    "schedule_matches", "orientation_votes", "model_registry", "ranking_latest", "ridge_consensus", "bayes_consensus", "density_grid",
+    "schedule_matches", "orientation_votes", "model_registry", "ranking_latest", "ridge_consensus", "bayes_consensus", "density_grid", "edge_slope", "posting_models", "holdout_split",
+    "forward_stability", "paired_references", "board_matrix",
 ]
 QUERIES = {n: globals()[n] for n in NAMES}

@@ -226,4 +226,21 @@ SQL: dict[str, str] = {
     "model_registry": f"{_P}, u AS (SELECT canonical_model_id, count(*) AS \"rows\", count(DISTINCT game_key) AS games FROM lp GROUP BY 1) SELECT u.*, model_name AS registry_name, source_coverage, include_default FROM u LEFT JOIN models USING (canonical_model_id)",
     "ranking_latest": """WITH l AS (SELECT sport_key, season, max(struct_pack(a := load_ts, b := load_label)).b AS load_label FROM model_ranking_2026 GROUP BY ALL)
       SELECT DISTINCT sport_key, season, load_label, canonical_model_id, quality_rank FROM model_ranking_2026 JOIN l USING (sport_key, season, load_label)""",
+    "edge_slope": f"""{_MODEL}, x AS (SELECT model, edge AS x, round(actual - market, 9) AS y FROM m WHERE edge IS NOT NULL AND actual IS NOT NULL AND market IS NOT NULL),
+      s AS (SELECT model, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy FROM x GROUP BY model), t AS (SELECT model, n, CASE WHEN n * sxx - sx * sx > 1e-9 THEN (n * sxy - sx * sy) / (n * sxx - sx * sx) END AS slope FROM s)
+      SELECT model, n, round(slope, 5) AS slope, round(slope * n / (n + 100.0), 5) AS shrunk FROM t""",
+    "posting_models": f"""{_C}, {_PERIODS}, p AS (SELECT DISTINCT c.sport_key, period, model FROM c JOIN per USING (sport_key, season, wk)), q AS (SELECT *, lag(period) OVER (PARTITION BY sport_key, model ORDER BY period) AS last FROM p)
+      SELECT sport_key, period, count(*) AS models, count(*) FILTER (WHERE last = period - 1) AS stayed, count(*) FILTER (WHERE last IS NULL) AS "new" FROM q GROUP BY ALL""",
+    "holdout_split": f"""{_G}, {_PERIODS}, r AS (SELECT sport_key, season, wk, CASE WHEN period > max(period) OVER (PARTITION BY sport_key) - 3 THEN 'holdout' ELSE 'discovery' END AS role FROM per),
+      z AS (SELECT sport_key, role, count(*) AS games, {_RECORD} FROM g JOIN r USING (sport_key, season, wk) GROUP BY ALL) SELECT *, {_RATES} FROM z""",
+    "forward_stability": f"""{_MODEL}, b AS (SELECT model, season, (wk - 1) // 4 AS block, avg((grade = 'win')::INT) AS ats FROM m WHERE grade IN ('win', 'loss') GROUP BY ALL HAVING count(*) >= 5),
+      w AS (SELECT *, pow(0.5, (row_number() OVER (PARTITION BY model ORDER BY season DESC, block DESC) - 1) / 2.0) AS w FROM b)
+      SELECT model, count(*) AS blocks, round(avg(ats), 6) AS mean_ats, round(avg(ats) - coalesce(stddev_samp(ats), 0), 6) AS stable, round(sum(w * ats) / sum(w), 6) AS recent FROM w GROUP BY model""",
+    "paired_references": f"""{_S}, x AS (SELECT gr.season, gr.wk, reference, round(side * (sel.actual - line), 9) AS o FROM sel JOIN gr USING (game_key) WHERE side <> 0 AND sel.actual IS NOT NULL),
+      r AS (SELECT season, wk, reference, avg(CASE WHEN o > 0 THEN 1.0::DOUBLE WHEN o < 0 THEN 0 END) AS ats FROM x GROUP BY ALL)
+      SELECT a.reference AS reference_a, b.reference AS reference_b, count(*) AS weeks, count(*) FILTER (WHERE a.ats > b.ats) AS a_better, count(*) FILTER (WHERE a.ats < b.ats) AS b_better
+      FROM r a JOIN r b ON a.season = b.season AND a.wk = b.wk AND a.reference < b.reference GROUP BY 1, 2""",
+    "board_matrix": f"""WITH {_BR}, {_LAST}, cur AS (SELECT br.* FROM br JOIN last USING (sport_key, season, snapshot_label)), {_UNP.format(src="cur")}
+      SELECT sport_key, season, road, home, max(pred) FILTER (WHERE board_column = 'linenewbury') AS linenewbury, max(pred) FILTER (WHERE board_column = 'linemoore') AS linemoore, max(pred) FILTER (WHERE board_column = 'linedial') AS linedial
+      FROM un WHERE NOT isnan(pred) GROUP BY ALL""",
 }
