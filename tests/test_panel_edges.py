@@ -101,6 +101,45 @@ def test_subset_search_against_plain_python(spark):
         search.score_subsets(cell, list("abcde"), 2, 3, most_subsets=5)
 
 
+def test_larger_subsets_with_few_models_a_game(spark):
+    from itertools import combinations
+
+    rng = np.random.default_rng(7)
+    models = [f"m{i}" for i in range(9)]
+    rows = [(f"g{g}", m, float(rng.integers(-40, 40)) / 2, 1.5, float(rng.integers(-20, 20)), 1.0, 0) for g in range(60) for i, m in enumerate(models) if rng.random() < 0.9 - 0.08 * i]
+    cell = C.cells(_panel(spark, rows))
+    games = {}
+    for r in cell.collect():
+        games.setdefault((r.game_key, r.market, r.actual), {})[r.model] = r.pred
+    for least, most, enough in ((3, 6, 3), (4, 7, 4), (2, 5, 3), (3, 4, 2)):
+        got = {tuple(r.models): (r.bets, r.wins, r.losses, r.pushes) for r in search.score_subsets(cell, models, least, most, 0.5, enough).collect()}
+        assert len(got) == search.subset_count(9, least, most)
+        for r in range(least, most + 1):
+            for c in combinations(models, r):
+                n = [0, 0, 0, 0]
+                for (_, market, actual), p in games.items():
+                    v = [p[m] for m in c if m in p]
+                    if len(v) < enough:
+                        continue
+                    e, sd, cover = float(np.mean(v)) - market, float(np.std(v, ddof=1)), actual - market
+                    if abs(e) < 1e-9 or (sd > 1e-6 and round(abs(e) / sd, 6) < 0.5):
+                        continue
+                    n[0] += 1
+                    n[3 if cover == 0 else 1 if e * cover > 0 else 2] += 1
+                assert got[c] == tuple(n)
+
+
+def test_the_pool_is_as_large_as_the_bound(spark, sf, monkeypatch):
+    from tidemark.plans import panel
+
+    n = search.largest_pool(3, 6)
+    assert n == 45 and search.subset_count(n, 3, 6) <= 10_000_000 < search.subset_count(n + 1, 3, 6)
+    seen = []
+    monkeypatch.setattr(panel.search, "score_subsets", lambda c, models, *a: seen.append((len(models), *a)))
+    panel._searched_widely(spark, sf)
+    assert seen == [(45, 3, 6, 0.75, 3)]
+
+
 def test_communities_and_meta(spark):
     board = spark.createDataFrame([(1, ["a", "b"]), (2, ["a", "c"]), (3, ["a", "b", "c"]), (4, ["d", "e"])], "rank int, models array<string>")
     com = search.communities(board)

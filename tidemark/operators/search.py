@@ -1,12 +1,14 @@
 """Exhaustive search over model subsets, their overlap communities, and the ensemble of ensembles.
 
-Games are cut into blocks; a kernel scores every subset on its block with matrix products, so only one row per subset
-and block is shuffled. The subsets are numbered, never listed on the driver.
+A game has few of the models, so a subset's bet there depends on few of its members. A kernel scores what a game has and
+splits it, by inclusion and exclusion, into shares of which a subset's record is the sum over its own parts. Every model
+is a task with the subsets in which it comes first; games are sent to their models, subsets never are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import cache
 from itertools import combinations
 from math import comb
 
@@ -17,60 +19,149 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.consensus import DIGITS, EPS, GAME, rates
 
-#: Subsets that the kernel holds at once, and games in a block.
-CHUNK, BLOCK = 4096, 2000
+#: Cells that the kernel holds at once, and subsets in a batch of its result.
+CELLS, BATCH = 500_000, 50_000
 
 
 def subset_count(models: int, least: int, most: int) -> int:
     return sum(comb(models, r) for r in range(least, most + 1))
 
 
-def score_subsets(cell: DataFrame, models: Sequence[str], least: int = 3, most: int = 4, k: float = 0.75, min_available: int = 3, most_subsets: int = 10_000_000) -> DataFrame:
-    """models (array), size, bets, wins, losses, pushes, ats, wilson: every subset's record at signal >= k.
+def largest_pool(least: int, most: int, most_subsets: int = 10_000_000) -> int:
+    """How many models an exhaustive search of these sizes takes."""
+    return max(n for n in range(63) if subset_count(n, least, most) <= most_subsets)
+
+
+@cache
+def _listed(n: int, r: int) -> np.ndarray:
+    """All r of n in colexicographic order, one per row: a row's place, ``_place``, does not depend on n."""
+    if r == 0:
+        return np.zeros((1, 0), dtype=np.int8)
+    below = _listed(n - 1, r - 1) if n >= r else np.zeros((0, r - 1), dtype=np.int8)
+    rows = [np.hstack([below[: comb(t, r - 1)], np.full((comb(t, r - 1), 1), t, dtype=np.int8)]) for t in range(r - 1, n)]
+    return np.vstack(rows) if rows else np.zeros((0, r), dtype=np.int8)
+
+
+_BINOM = np.array([[min(comb(n, j), 2**62) for n in range(63)] for j in range(64)], dtype=np.int64)
+
+
+def _place(rows: np.ndarray) -> np.ndarray:
+    """The places of ascending rows (last axis) among all of their length."""
+    out = np.zeros(rows.shape[:-1], dtype=np.int64)
+    for j in range(rows.shape[-1]):
+        out += _BINOM[j + 1][rows[..., j]]
+    return out
+
+
+def _outcomes(n: int, s: np.ndarray, ss: np.ndarray, market: np.ndarray, cover: np.ndarray, k: float) -> np.ndarray:
+    """Bets, wins and pushes, as 0 and 1 on a first axis, of n forecasts with sum ``s`` and sum of squares ``ss``."""
+    mean = np.round(s / n, DIGITS)
+    sd = np.round(np.sqrt(np.maximum(0.0, (ss - s * s / n) / (n - 1))), 6)
+    edge = np.round(mean - market[:, None], DIGITS)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        signal = np.where(sd > 1e-6, np.round(np.abs(edge) / sd, 6), np.inf)
+    bet = (np.abs(edge) >= EPS) & (signal >= k)
+    push = bet & (np.abs(cover) < EPS)[:, None]
+    return np.stack([bet, bet & ~push & (edge * cover[:, None] > 0), push]).astype(np.int32)
+
 
-    ``models`` are at most 62; more subsets than ``most_subsets`` fail rather than being left out. A subset's mean and
-    spread in a game are of its models that forecast it; fewer than ``min_available`` (or than two) give no bet.
+def _add_games(shares: dict[int, np.ndarray], own: np.ndarray, at: np.ndarray, pred: np.ndarray, market: np.ndarray, cover: np.ndarray, least: int, most: int, k: float) -> None:
+    """Adds games with equally many later models ``at`` (relative) to the shares, by size of what joins the first model."""
+    m, diff = at.shape[1], {}
+    for v in range(least - 1, min(most - 1, m) + 1):
+        t = _listed(m, v)
+        x = pred[:, t]
+        s, ss = x.sum(-1), (x * x).sum(-1)
+        diff[v] = _outcomes(v + 1, s + own[:, None], ss + (own * own)[:, None], market, cover, k)
+        if v >= least:
+            diff[v] -= _outcomes(v, s, ss, market, cover, k)
+        share = diff[v].copy()
+        for w in range(least - 1, v):
+            for part in combinations(range(v), w):
+                share += (-1) ** (v - w) * diff[w][:, :, _place(t[:, part])]
+        place = _place(at[:, t])
+        for i in range(3):
+            np.add.at(shares[v][i], place.ravel(), share[i].ravel())
+
+
+def _shares(cell: DataFrame, order: Sequence[str], least: int, most: int, k: float, totals, smallest: int) -> DataFrame:
+    """size, place, mask, bets, wins, losses, pushes of every subset of ``smallest`` to ``most``, one row each.
+
+    With ``totals`` (a broadcast of the smaller subsets' totals by size) the rows are totals, without it shares.
     """
-    ids = sorted(set(models))
-    if len(ids) > 62 or subset_count(len(ids), least, most) > most_subsets:
-        raise ValueError("too many subsets for an exhaustive search")
-    at = {m: i for i, m in enumerate(ids)}
-    ok = cell.filter(F.col("model").isin(ids) & F.col("market").isNotNull() & F.col("actual").isNotNull())
-    games = ok.groupBy("game_key", "market", "actual").agg(F.collect_list(F.struct("model", "pred")).alias("p"))
-    blocked = games.repartition(F.pmod(F.xxhash64("game_key"), F.lit(1024)))
+    at_, n = {m: i for i, m in enumerate(order)}, len(order)
+    spark = cell.sparkSession
+    number = F.create_map(*(F.lit(x) for m, i in at_.items() for x in (m, i)))
+    ok = cell.filter(F.col("model").isin(list(order)) & F.col("market").isNotNull() & F.col("actual").isNotNull())
+    games = ok.groupBy("game_key", "market", "actual").agg(F.array_sort(F.collect_list(F.struct(number[F.col("model")].alias("i"), F.col("pred")))).alias("p"))
+    each = games.select("market", "actual", F.posexplode("p").alias("pos", "own"), "p").select(F.col("own.i").alias("first"), "market", "actual", F.col("own.pred").alias("own"), F.slice("p", F.col("pos") + 2, F.size("p")).alias("p"))
+    each = each.filter(F.size("p") >= least - 1).select("first", "market", "actual", "own", F.col("p.i").alias("at"), F.col("p.pred").alias("pred"))
+    none = spark.range(n).select(F.col("id").cast("int").alias("first"), *(F.lit(0.0).alias(c) for c in ("market", "actual", "own")), F.array().cast("array<int>").alias("at"), F.array().cast("array<double>").alias("pred"))
+    sent = each.unionByName(none).repartition(max(1, 2 * n), "first")
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        totals: dict[int, np.ndarray] = {}
-        bits = [sum(1 << i for i in c) for r in range(least, most + 1) for c in combinations(range(len(ids)), r)]
-        masks = np.array(bits, dtype=np.int64)
-        sums = np.zeros((len(masks), 4), dtype=np.int64)
+        held: dict[int, dict[int, np.ndarray]] = {}
         for pdf in batches:
-            for start in range(0, len(pdf), BLOCK):
-                part = pdf.iloc[start : start + BLOCK]
-                pred, has = np.zeros((len(part), len(ids))), np.zeros((len(part), len(ids)))
-                for g, cells_ in enumerate(part["p"]):
-                    for c in cells_:
-                        pred[g, at[c["model"]]], has[g, at[c["model"]]] = c["pred"], 1.0
-                market, cover = part["market"].to_numpy(float), np.round(part["actual"].to_numpy(float) - part["market"].to_numpy(float), DIGITS)
-                for lo in range(0, len(masks), CHUNK):
-                    m = ((masks[lo : lo + CHUNK, None] >> np.arange(len(ids))) & 1).astype(float).T
-                    n, s, ss = has @ m, pred @ m, (pred * pred) @ m
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        mean = np.round(s / n, DIGITS)
-                        sd = np.round(np.sqrt(np.maximum(0.0, (ss - s * s / n) / (n - 1))), 6)
-                        edge = np.round(mean - market[:, None], DIGITS)
-                        signal = np.where(sd > 1e-6, np.round(np.abs(edge) / sd, 6), np.inf)
-                    bet = (n >= max(2, min_available)) & (np.abs(edge) >= EPS) & (signal >= k)
-                    push = bet & (np.abs(cover) < EPS)[:, None]
-                    win = bet & ~push & (edge * cover[:, None] > 0)
-                    sums[lo : lo + CHUNK] += np.stack([bet.sum(0), win.sum(0), (bet & ~push & ~win).sum(0), push.sum(0)], axis=1)
-        totals.clear()
-        yield pd.DataFrame({"mask": masks, "bets": sums[:, 0], "wins": sums[:, 1], "losses": sums[:, 2], "pushes": sums[:, 3]})
-
-    parts = blocked.mapInPandas(kernel, "mask bigint, bets bigint, wins bigint, losses bigint, pushes bigint")
-    total = parts.groupBy("mask").agg(*(F.sum(c).alias(c) for c in ("bets", "wins", "losses", "pushes")))
-    names = F.filter(F.transform(F.array(*(F.struct(F.lit(m).alias("m"), F.lit(1 << i).cast("bigint").alias("b")) for i, m in enumerate(ids))), lambda x: F.when(F.col("mask").bitwiseAND(x["b"]) != 0, x["m"])), lambda x: x.isNotNull())
-    return rates(total.select(names.alias("models"), F.bit_count("mask").cast("int").alias("size"), "bets", "wins", "losses", "pushes"))
+            for (i, m), g in pdf.groupby([pdf["first"], pdf["at"].map(len)]):
+                if i not in held:
+                    held[i] = {v: np.zeros((3, comb(n - 1 - i, v)), dtype=np.int64) for v in range(least - 1, most)}
+                shares = held[i]
+                if m < least - 1:
+                    continue
+                step = max(1, CELLS // max(1, comb(m, min(most - 1, m // 2))))
+                own, at, pred = g["own"].to_numpy(float), np.stack(g["at"].to_numpy()) - i - 1, np.stack(g["pred"].to_numpy()).astype(float)
+                market = g["market"].to_numpy(float)
+                cover = np.round(g["actual"].to_numpy(float) - market, DIGITS)
+                for lo in range(0, len(g), step):
+                    s = slice(lo, lo + step)
+                    _add_games(shares, own[s], at[s].reshape(-1, m), pred[s].reshape(-1, m), market[s], cover[s], least, most, k)
+        for i, shares in held.items():
+            for v in range(max(0, smallest - 1), most):
+                every = _listed(n - 1 - i, v)
+                for lo in range(0, len(every), BATCH):
+                    t = every[lo : lo + BATCH].astype(np.int64)
+                    whole = shares[v][:, lo : lo + BATCH].copy() if v in shares else np.zeros((3, len(t)), dtype=np.int64)
+                    if totals is not None:
+                        for w in range(least - 1, v):
+                            for part in combinations(range(v), w):
+                                whole += shares[w][:, _place(t[:, part])]
+                        if v >= least:
+                            whole += totals.value[v][:, _place(t + i + 1)]
+                    mask = (1 << i) + (np.int64(1) << (t + i + 1)).sum(axis=1)
+                    place = _place(np.hstack([np.full((len(t), 1), i), t + i + 1]))
+                    yield pd.DataFrame({"size": v + 1, "place": place, "mask": mask, "bets": whole[0], "wins": whole[1], "losses": whole[0] - whole[1] - whole[2], "pushes": whole[2]})
+
+    return sent.mapInPandas(kernel, "size int, place bigint, mask bigint, bets bigint, wins bigint, losses bigint, pushes bigint")
+
+
+def score_subsets(cell: DataFrame, models: Sequence[str], least: int = 3, most: int = 4, k: float = 0.75, min_available: int = 3, most_subsets: int = 10_000_000) -> DataFrame:
+    """models (array), size, bets, wins, losses, pushes, ats, wilson: every subset's record at signal >= k.
+
+    ``models`` are at most 62, best with the frequent ones first; more subsets than ``most_subsets`` fail rather than
+    being left out. A subset's mean and spread in a game are of its models that forecast it; fewer than
+    ``min_available`` (or than two) give no bet. The totals of the subsets below the largest size are brought to the
+    driver and broadcast; their number is bounded by ``most_subsets`` and does not grow with the games.
+    """
+    order = list(dict.fromkeys(models))[::-1]  # rare models first: the games of a frequent one then have few later models
+    if len(order) > 62 or subset_count(len(order), least, most) > most_subsets:
+        raise ValueError("too many subsets for an exhaustive search")
+    enough, n = max(2, min_available), len(order)
+    total: dict[int, np.ndarray] = {}
+    if most > enough:
+        low = _shares(cell, order, enough, most - 1, k, None, enough).select("size", "place", "bets", "wins", "pushes").toPandas()
+        part = {}
+        for r in range(enough, most):
+            rows = low[low["size"] == r]
+            part[r] = np.zeros((3, comb(n, r)), dtype=np.int64)
+            part[r][:, rows["place"].to_numpy()] = rows[["bets", "wins", "pushes"]].to_numpy().T
+        for r in range(enough, most):
+            total[r], t = part[r].copy(), _listed(n, r)
+            for w in range(enough, r):
+                for c in combinations(range(r), w):
+                    total[r] += part[w][:, _place(t[:, c])]
+    scored = _shares(cell, order, enough, most, k, cell.sparkSession.sparkContext.broadcast({r: x.astype(np.int32) for r, x in total.items()}), least)
+    names = F.array_sort(F.filter(F.transform(F.array(*(F.struct(F.lit(m).alias("m"), F.lit(1 << i).cast("bigint").alias("b")) for i, m in enumerate(order))), lambda x: F.when(F.col("mask").bitwiseAND(x["b"]) != 0, x["m"])), lambda x: x.isNotNull()))
+    return rates(scored.select(names.alias("models"), "size", "bets", "wins", "losses", "pushes"))
 
 
 def leaderboard(scored: DataFrame, least_bets: int, top: int) -> DataFrame:

@@ -273,6 +273,18 @@ def _searched(spark, d):
     return c, search.score_subsets(c, top, 3, 4, 0.75, 2)
 
 
+def _searched_widely(spark, d):
+    """The models with most games, as many as the search takes (45), in all subsets of three to six."""
+    c = _cells(spark, d)
+    n = search.largest_pool(3, 6)
+    top = [r[0] for r in c.groupBy("model").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "model").limit(n).collect()]
+    return c, search.score_subsets(c, top, 3, 6, 0.75, 3)
+
+
+def _wide_board(spark, d):
+    return checkpoint(search.leaderboard(_searched_widely(spark, d)[1], 5, 100))
+
+
 def combo_search(spark, d):
     return _searched(spark, d)[1].withColumn("models", F.array_join("models", "|"))
 
@@ -289,9 +301,24 @@ def jaccard_pairs(spark, d):
     return search.jaccard_pairs(checkpoint(search.leaderboard(_searched(spark, d)[1], 5, 25)))
 
 
+def wide_combo_search(spark, d):
+    return _searched_widely(spark, d)[1].withColumn("models", F.array_join("models", "|"))
+
+
+def wide_combo_leaderboard(spark, d):
+    return _wide_board(spark, d).withColumn("models", F.array_join("models", "|"))
+
+
+def wide_combo_pair_frequency(spark, d):
+    return search.pair_frequency(_wide_board(spark, d))
+
+
+def wide_jaccard_pairs(spark, d):
+    return search.jaccard_pairs(_wide_board(spark, d))
+
+
 def meta_frame(spark, d):
-    c, scored = _searched(spark, d)
-    return search.meta(c, search.communities(search.leaderboard(scored, 5, 25))).drop("market", "actual")
+    return search.meta(_cells(spark, d), search.communities(_wide_board(spark, d)), 3).drop("market", "actual")
 
 
 def stable_k(spark, d):
@@ -432,7 +459,7 @@ NAMES = [
     "availability_signatures", "available_model_counts", "min_model_sensitivity", "individual_performance", "individual_by_season", "model_quality", "season_diagnostics", "pairwise_edge_corr", "effective_n_by_game",
     "corr_components", "upgma_clusters", "greedy_cohort", "leave_one_out", "contribution_common", "open_line_qc", "reference_performance", "fixed_bet_repricing", "bet_set_overlap", "signal_migration", "spread_regimes",
     "period_coverage", "oos_folds", "prior_model_stats", "bias_corrected_walkforward", "inverse_mse_walkforward", "market_lambda_walkforward", "market_anchored_ols", "incremental_rank", "edge_calibration", "equity_drawdown",
-    "losing_streak", "sign_test", "combo_search", "combo_leaderboard", "combo_pair_frequency", "jaccard_pairs", "meta_frame", "stable_k", "board_long", "board_consensus", "line_moves", "source_precedence", "completed_excluded",
+    "losing_streak", "sign_test", "combo_search", "combo_leaderboard", "combo_pair_frequency", "jaccard_pairs", "wide_combo_search", "wide_combo_leaderboard", "wide_combo_pair_frequency", "wide_jaccard_pairs", "meta_frame", "stable_k", "board_long", "board_consensus", "line_moves", "source_precedence", "completed_excluded",
     "schedule_matches", "orientation_votes", "model_registry", "ranking_latest", "ridge_consensus", "bayes_consensus", "density_grid", "edge_slope", "posting_models", "holdout_split",
     "forward_stability", "paired_references", "board_matrix",
 ]
