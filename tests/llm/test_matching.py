@@ -45,6 +45,13 @@ def test_search_finds_all_close_vectors(spark):
             assert (s, n) in got
 
 
+def test_search_keeps_swaps_in_short_names(spark):
+    want = {("Ulmahm", "Ulmham"), ("Tovrton", "Torvton"), ("Osrty", "Ostry")}
+    m = spark.createDataFrame([("g", 1, s) for s, _ in want], "sport_key string, season int, mention string")
+    t = spark.createDataFrame([("g", 1, n, n, None) for _, n in want], "sport_key string, season int, team string, schedule_name string, espn_name string")
+    assert want <= {(r.mention, r.team) for r in matching.close_names(m, t).filter("kind = 'full'").collect()}
+
+
 def _season(spark):
     teams = [f"{a}{b}" for a in ("Hest", "Vel", "Ruddw", "Garv", "Nimm", "Tarv") for b in ("ouston", "marrick", "ick", "ingo")]
     rnd = random.Random(1)

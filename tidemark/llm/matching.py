@@ -29,8 +29,8 @@ from tidemark.sources import checkpoint
 #: searched, so pairs up to RADIUS differing bits are found without exception.
 CHUNKS, BITS, HASHES = 8, 16, 2
 RADIUS = 2 * CHUNKS - 1
-#: Names below this Dice score are no candidates.
-LEAST_DICE = 0.58
+#: Names below this Dice score are no candidates: none within RADIUS, as one swap leaves a short name half its pairs.
+LEAST_DICE = 0.0
 #: Copies of each name and game; a bet meets those of its own hash.
 SALTS = 8
 #: Rounds of the fit.
