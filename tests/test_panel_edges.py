@@ -201,3 +201,13 @@ def test_snapshot_stream(spark, sf, tmp_path):
     s = snapshots.read_snapshots(spark, str(tmp_path / "in"), t.schema)
     out = snapshots.run_to_table(snapshots.distinct_rows(s, ["row_id"], "snapshot_ts", "400 days"), "seen_rows", str(tmp_path / "cp"))
     assert out.count() == t.select("row_id").distinct().count()
+
+
+def test_board_matrix_of_all_models(spark, sf):
+    from tidemark.plans import panel
+
+    b = spark.read.parquet(f"{sf}/ncaapredictions.parquet")
+    cols, out = boards.model_columns(b), panel.wide_board_matrix(spark, sf)
+    assert len(cols) > 50 and set(out.columns) == {"sport_key", "season", "road", "home", *cols}
+    long = boards.wide_to_long(boards.latest_snapshot(boards.board_records(b)), cols)
+    assert sum(v is not None for r in out.select(*cols).collect() for v in r) == long.select("sport_key", "season", "road", "home", "board_column").distinct().count()

@@ -437,6 +437,14 @@ def board_matrix(spark, d):
     return long.groupBy("sport_key", "season", "road", "home").pivot("board_column", cols).agg(F.max("pred"))
 
 
+def wide_board_matrix(spark, d):
+    """The last snapshots' games by all models of the board."""
+    b = table(spark, d, "ncaapredictions")
+    cols = boards.model_columns(b)
+    long = boards.wide_to_long(boards.latest_snapshot(boards.board_records(b)), cols)
+    return long.groupBy("sport_key", "season", "road", "home").pivot("board_column", cols).agg(F.max("pred"))
+
+
 def _registry(spark, d):
     """The models of the panel that the registry names: a fixed table."""
     return sorted(r[0] for r in table(spark, d, "models").select("canonical_model_id").filter("canonical_model_id is not null").distinct().collect())
@@ -461,6 +469,6 @@ NAMES = [
     "period_coverage", "oos_folds", "prior_model_stats", "bias_corrected_walkforward", "inverse_mse_walkforward", "market_lambda_walkforward", "market_anchored_ols", "incremental_rank", "edge_calibration", "equity_drawdown",
     "losing_streak", "sign_test", "combo_search", "combo_leaderboard", "combo_pair_frequency", "jaccard_pairs", "wide_combo_search", "wide_combo_leaderboard", "wide_combo_pair_frequency", "wide_jaccard_pairs", "meta_frame", "stable_k", "board_long", "board_consensus", "line_moves", "source_precedence", "completed_excluded",
     "schedule_matches", "orientation_votes", "model_registry", "ranking_latest", "ridge_consensus", "bayes_consensus", "density_grid", "edge_slope", "posting_models", "holdout_split",
-    "forward_stability", "paired_references", "board_matrix",
+    "forward_stability", "paired_references", "board_matrix", "wide_board_matrix",
 ]
 QUERIES = {n: globals()[n] for n in NAMES}
