@@ -203,6 +203,12 @@ def test_snapshot_stream(spark, sf, tmp_path):
     assert out.count() == t.select("row_id").distinct().count()
 
 
+def test_models_without_a_known_pair_stand_alone(spark):
+    corr = spark.createDataFrame([("a", "b", 0.9), ("c", "d", None)], "model_a string, model_b string, r double")
+    nodes = spark.createDataFrame([(m,) for m in "abcd"], "model string")
+    assert {tuple(x) for x in pairs.average_linkage(corr, 0.3, nodes=nodes).collect()} == {("a", "a"), ("b", "a"), ("c", "c"), ("d", "d")}
+
+
 def test_board_matrix_of_all_models(spark, sf):
     from tidemark.plans import panel
 

@@ -80,15 +80,15 @@ def leave_one_out(cell: DataFrame, least: int = 2) -> DataFrame:
     )
 
 
-def average_linkage(corr: DataFrame, threshold: float = 0.85, most_models: int = 2000) -> DataFrame:
+def average_linkage(corr: DataFrame, threshold: float = 0.85, most_models: int = 2000, nodes: DataFrame | None = None) -> DataFrame:
     """model, cluster: average linkage on 1 - r, cut at 1 - threshold; unknown pairs have r 0.
 
-    The matrix over models is small and is clustered on the driver; beyond ``most_models`` the call fails.
+    ``nodes`` (model) are clustered too where no pair of theirs is known. The matrix over models is small and is clustered on the driver; beyond ``most_models`` the call fails.
     """
     import numpy as np
 
     rows = corr.filter(F.col("r").isNotNull()).collect()
-    names = sorted({r.model_a for r in rows} | {r.model_b for r in rows})
+    names = sorted({r.model_a for r in rows} | {r.model_b for r in rows} | ({r.model for r in nodes.collect()} if nodes is not None else set()))
     if len(names) > most_models:
         raise ValueError(f"more than {most_models} models")
     at = {n: i for i, n in enumerate(names)}

@@ -154,7 +154,8 @@ def corr_components(spark, d):
 
 
 def upgma_clusters(spark, d):
-    return pairs.average_linkage(pairs.pairwise_correlation(_cells(spark, d)), 0.3)
+    c = _cells(spark, d)
+    return pairs.average_linkage(pairs.pairwise_correlation(c), 0.3, nodes=c.select("model").distinct())
 
 
 def greedy_cohort(spark, d):
