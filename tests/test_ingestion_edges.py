@@ -114,3 +114,9 @@ def test_mask_divergence(spark):
     rows = [("g", "a", T0, "Ab"), ("g", "a", T0, "12"), ("g", "b", T0 + dt.timedelta(days=1), "Cd"), ("g", "b", T0 + dt.timedelta(days=1), "Ef"), ("g", "c", T0 + dt.timedelta(days=2), "7")]
     d = {r.load: r.divergence for r in quality_profile.mask_report(spark.createDataFrame(rows, schema), ["s"], "load", "ts", {"t": None}).collect()}
     assert d["a"] is None and abs(d["c"] - 1.0) < 1e-9 and abs(d["b"] - 0.311278) < 1e-5
+
+
+def test_a_field_beside_its_new_name_is_kept(spark):
+    rows = [(1.0, '{"old":"2","older":"3"}'), (None, '{"old":"2","older":"3"}'), (None, '{"older":"3"}'), (1.0, '{"old":"x"}'), (None, '{"old":"2"}')]
+    got = [tuple(r) for r in schema_drift.promote(spark.createDataFrame(rows, "line double, _rescued string").coalesce(1), {"old": "line", "older": "line"}).collect()]
+    assert got == [(1.0, '{"old":"2","older":"3"}'), (2.0, '{"older":"3"}'), (3.0, None), (1.0, '{"old":"x"}'), (2.0, None)]

@@ -93,17 +93,22 @@ def promote(ingested: DataFrame, fields: dict[str, str]) -> DataFrame:
     """``ingested`` with rescued fields replayed into typed columns and taken out of ``_rescued``.
 
     ``fields`` gives for each rescued field the number column that takes its values: a new one, or an old one under
-    which the field was known before. A value that is no number stays rescued.
+    which the field was known before. A value that is no number stays rescued, and so does a number whose column has one
+    already in the record; of several fields of one column the first that is given counts.
     """
     if not fields:
         return ingested
     rescued = F.from_json("_rescued", _RESCUED)
     out = ingested.withColumn("_r", rescued)
     cols = {c: F.col(c) for c in ingested.columns if c != "_rescued"}
+    clashes = []
     for field, column in fields.items():
         replayed = to_number(trim_blanks(F.try_element_at("_r", F.lit(field))))
+        if column in cols:
+            clashes.append(F.when(cols[column].isNotNull() & replayed.isNotNull(), F.lit(field)))
         cols[column] = F.coalesce(cols[column], replayed) if column in cols else replayed
-    left = F.map_filter("_r", lambda k, v: ~k.isin(list(fields)) | (~is_missing(trim_blanks(v)) & to_number(trim_blanks(v)).isNull()))
+    out = out.withColumn("_clashes", F.array_compact(F.array(*clashes)) if clashes else F.array().cast("array<string>"))
+    left = F.map_filter("_r", lambda k, v: ~k.isin(list(fields)) | F.array_contains("_clashes", k) | (~is_missing(trim_blanks(v)) & to_number(trim_blanks(v)).isNull()))
     return out.select(*(c.alias(n) for n, c in cols.items()), F.when(F.size(left) > 0, F.to_json(left)).alias("_rescued"))
 
 
