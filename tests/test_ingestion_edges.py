@@ -116,6 +116,15 @@ def test_mask_divergence(spark):
     assert d["a"] is None and abs(d["c"] - 1.0) < 1e-9 and abs(d["b"] - 0.311278) < 1e-5
 
 
+def test_masks_of_every_column(spark, sf):
+    from tidemark.plans import ingestion
+
+    got = ingestion.p5_masks(spark, sf).select("table_name", "column_name", "dominant_mask").distinct().collect()
+    seen = {(r.table_name, r.column_name) for r in got}
+    assert {("ncaapredictions", c) for c in ("road", "home", "line", "lineopen")} | {("model_ranking_2026", c) for c in ("model_name", "fast_review_flag", "model_mse", "canonical_model_id", "selection_tier")} <= seen
+    assert {r.dominant_mask for r in got if r.column_name == "line"} <= {"9.9", "-9.9"}
+
+
 def test_a_field_beside_its_new_name_is_kept(spark):
     rows = [(1.0, '{"old":"2","older":"3"}'), (None, '{"old":"2","older":"3"}'), (None, '{"older":"3"}'), (1.0, '{"old":"x"}'), (None, '{"old":"2"}')]
     got = [tuple(r) for r in schema_drift.promote(spark.createDataFrame(rows, "line double, _rescued string").coalesce(1), {"old": "line", "older": "line"}).collect()]

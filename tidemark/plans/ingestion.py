@@ -95,15 +95,14 @@ def p5_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dominant masks, rare values and mask divergence of the text columns that column_limits checks."""
-    fixed = table(spark, sf_dir, "column_limits").select("table_name", "column_name", "text_pattern").filter("text_pattern is not null").collect()
+    """Dominant masks, rare values and mask divergence of every column of both tables, numbers by their text form."""
     out = None
     for name, (label, ts) in PROFILED.items():
-        patterns = {r.column_name: r.text_pattern for r in fixed if r.table_name == name}
-        if not patterns:
-            continue
+        numbers, texts = _columns(spark, sf_dir, name)
         rows = table(spark, sf_dir, name).withColumnRenamed(label, "load_label")
-        told = quality_profile.mask_report(rows, STREAM, "load_label", ts, patterns)
+        # NaN is missing and -0 is 0, as in the number profile
+        rows = rows.withColumns({c: normal_double(F.col(c).cast("double")).cast("string") if t in ("float", "double") else F.col(c).cast("string") for c, t in rows.dtypes if c in numbers})
+        told = quality_profile.mask_report(rows, STREAM, "load_label", ts, dict.fromkeys([*numbers, *texts]))
         told = told.select(F.lit(name).alias("table_name"), *STREAM, "load_label", "column_name", "n_masks", "dominant_mask", "rare_values", F.round("divergence", 9).alias("divergence"))
         out = told if out is None else out.unionByName(told)
     return out
