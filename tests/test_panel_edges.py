@@ -193,6 +193,12 @@ def test_feeds(spark, tmp_path):
     assert [tuple(x) for x in w] == [("A", "10"), ("B", "2")]
     rows = feeds.fingerprint(spark.createDataFrame([("a", None), ("a", ""), ("a", None)], "x string, y string"), ["x", "y"])
     assert feeds.append_new(rows, str(tmp_path / "t"), ["sha"]) == 2 and feeds.append_new(rows, str(tmp_path / "t"), ["sha"]) == 0
+    (tmp_path / "broken").mkdir()
+    assert feeds.append_new(rows, str(tmp_path / "broken"), ["sha"]) == 2
+    (tmp_path / "torn").mkdir()
+    (tmp_path / "torn" / "part-0.parquet").write_bytes(b"not parquet")
+    with pytest.raises(Exception, match="(?i)parquet"):  # an unreadable target is no empty one
+        feeds.append_new(rows, str(tmp_path / "torn"), ["sha"])
 
 
 def test_snapshot_stream(spark, sf, tmp_path):

@@ -101,13 +101,20 @@ def new_rows(rows: DataFrame, there: DataFrame, keys: Sequence[str]) -> DataFram
     return rows.dropDuplicates(list(keys)).join(there.select(*keys).distinct(), list(keys), "left_anti")
 
 
+def _has_files(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.exists(p) and any(not f.getPath().getName().startswith(("_", ".")) for f in fs.listStatus(p))
+
+
 def append_new(rows: DataFrame, path: str, keys: Sequence[str]) -> int:
-    """Appends to a Parquet folder what it lacks by its keys; gives the number of rows appended."""
+    """Appends to a Parquet folder what it lacks by its keys; gives the number of rows appended.
+
+    Only a missing folder, or one without files, is an empty target; one that cannot be read fails.
+    """
     spark = rows.sparkSession
-    try:
-        there = spark.read.parquet(path)
-    except Exception:  # no folder yet
-        there = rows.limit(0)
+    there = spark.read.schema(rows.schema).parquet(path) if _has_files(spark, path) else rows.limit(0)
     fresh = new_rows(rows, there, keys).persist()
     n = fresh.count()
     if n:

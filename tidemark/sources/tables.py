@@ -15,8 +15,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder for checkpoints.
 
-    The cluster names it in ``spark.checkpoint.dir``, a folder that all executors share. Only where that is unset, as in
-    tests on one machine, a temporary folder is taken.
+    The cluster names it in ``spark.checkpoint.dir``, a folder that all executors share. Where that is unset, a temporary
+    folder is taken if all tasks run on this machine (master ``local``); on a cluster it would not be shared, so that fails.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -26,6 +26,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named
     if current.isEmpty():
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
