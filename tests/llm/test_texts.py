@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -65,11 +66,45 @@ def test_packing_edges(spark):
     assert sorted(nulls.doc_id.dropna().astype("int64")) == [2**60 + 1] or len(nulls) == 2
 
 
-def test_greedy_fill_takes_neighbours_first():
-    texts = ["apple pie", "apple tart", "engine oil", "engine part"]
-    got = packing.fill([1200, 300, 1100, 400], texts, 2048)
-    assert sorted(map(sorted, got)) == [[0, 1, 3], [2]] or [0, 1] == sorted(got[0])[:2]
-    assert packing.fill([], [], 10) == [] and packing.fill([10, 10], ["", ""], 10) == [[0], [1]]
+def _text(*parts):
+    """Ids of a text: (id, how often) each."""
+    return np.concatenate([np.full(n, i) for i, n in parts]) if parts else np.zeros(0, int)
+
+
+def test_fill_takes_neighbours_first():
+    # 0 and 3 share id 1, 1 and 2 share id 2; by size alone 0 would be filled with 2
+    texts = [_text((1, 600), (9, 10)), _text((2, 650)), _text((2, 300), (8, 20)), _text((1, 200))]
+    texts += [_text((100 + i, 900)) for i in range(6)]
+    out, retrieved, sized = packing.fill(texts, 1000)
+    of = {i: k for k, w in enumerate(out) for i in w}
+    assert of[0] == of[3] and of[1] == of[2] and (retrieved, sized) == (2, 0)
+    assert sorted(i for w in out for i in w) == list(range(10))
+    assert packing.fill([], 10) == ([], 0, 0)
+    out, retrieved, sized = packing.fill([_text((1, 6)), _text((2, 5)), _text((3, 4))], 10)
+    assert sorted(map(sorted, out)) == [[0, 2], [1]] and (retrieved, sized) == (0, 1)
+
+
+def test_fill_is_mostly_by_retrieval(spark, sf):
+    docs = [np.asarray(r.ids)[:2048] for r in encoding.encode(spark.read.parquet(f"{sf}/documents.parquet")).orderBy("doc_id").collect() if len(r.ids)]
+    out, retrieved, sized = packing.fill(docs)
+    assert sorted(i for w in out for i in w) == list(range(len(docs))) and all(sum(len(docs[i]) for i in w) <= 2048 for w in out)
+    assert retrieved + sized + len(out) == len(docs) and retrieved >= 0.8 * (retrieved + sized)
+
+
+def test_many_rare_words_and_long_ones(spark):
+    """Words beyond the table of frequent ones, also long and repeated, come back to their places."""
+    long = "x" * 300
+    texts = [" ".join(f"w{i}q{j}" for j in range(40)) + " " + long for i in range(50)] + [f"{long} {long}  {long}\n {long} ", " a", "a ", "  ", "\u00a0 b \u3000 c"]
+    docs = _docs(spark, texts)
+    head, encoding.HEAD_WORDS = encoding.HEAD_WORDS, 5
+    try:
+        got = {r.doc_id: list(r.ids) for r in encoding.encode(docs).collect()}
+        encoding.HEAD_WORDS = 0
+        assert {r.doc_id: list(r.ids) for r in encoding.encode(docs).collect()} == got
+    finally:
+        encoding.HEAD_WORDS = head
+    want = dict(enumerate(encoding.encoder(encoding.VOCABULARY).encode_ordinary_batch(texts)))
+    assert got == want
 
 
 CASES = {
@@ -98,7 +133,9 @@ def test_sentences_by_hand(text):
 def test_layout_by_source():
     text = "skip it. now. A\nB. C"
     assert len(sentences.segment(text, "bet_memo")) == 2 and len(sentences.segment(text, "status_log")) == 2
-    assert [text[a:b] for a, b in sentences.segment("The\nend. Of\nit.\n\nAll", "mail_digest")] != [] and len(sentences.segment("The\nend. Of\nit.\n\nAll", "mail_digest")) == 3
+    text = "The\nend. Of\nit.\n\nAll"
+    assert [text[a:b] for a, b in sentences.segment(text, "mail_digest")] == ["The\nend.", "Of\nit.", "All"]
+    assert [text[a:b] for a, b in sentences.segment(text, "forum_post")] == ["The", "end.", "Of", "it.", "All"]
 
 
 def test_every_character_in_one_unit(spark, sf):
