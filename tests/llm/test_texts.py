@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -130,6 +132,34 @@ def test_sentences_by_hand(text):
     assert [text[a:b] for a, b in sentences.segment(text)] == CASES[text]
 
 
+def test_names_in_lower_case():
+    text = "It fell at Orsk. linedial stayed blank. lineup did not."
+    assert [text[a:b] for a, b in sentences.segment(text)] == [text]
+    assert [text[a:b] for a, b in sentences.segment(text, None, ("linedial",))] == ["It fell at Orsk.", "linedial stayed blank. lineup did not."]
+
+
+def test_language_of_a_block():
+    german, english = "Siehe Abb. 4 und die Tab. 5 ist neu.", "This is the Abb. 4 of it."
+    assert [german[a:b] for a, b in sentences.segment(german)] == [german]
+    assert [english[a:b] for a, b in sentences.segment(english)] == ["This is the Abb.", "4 of it."]  # no German in it
+
+
+def test_further_scripts():
+    for text, n in {"Մեկ։ Երկու։": 2, "አንድ። ሁለት።": 2, "တစ်။ နှစ်။": 2, "មួយ។ ពីរ។": 2, "གཅིག། གཉིས།": 2}.items():
+        assert len(sentences.segment(text)) == n, text
+
+
+@pytest.mark.parametrize("part", ["ก A" + " aa bb" * 40_000, "ก " * 40_000, "a." * 40_000, "A. " * 40_000, '" ' * 40_000, ".\u00a0\u201d" * 20_000, "\u2026" * 80_000, " " * 80_000 + ".", "1) " * 30_000, "St. 5.5" * 15_000])
+def test_long_texts_take_linear_time(part):
+    def took(text):
+        began = time.process_time()
+        sentences.segment(text)
+        return time.process_time() - began
+
+    took("a. b")
+    assert took(part * 2) < 3.5 * took(part) + 0.5 and took(part) < 8
+
+
 def test_layout_by_source():
     text = "skip it. now. A\nB. C"
     assert len(sentences.segment(text, "bet_memo")) == 2 and len(sentences.segment(text, "status_log")) == 2

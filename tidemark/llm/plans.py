@@ -33,7 +33,9 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentences.sentences(table(spark, sf_dir, "documents"))
+    """Units of every text; the board's fields, named by the registry, are written in lower case everywhere."""
+    fields = table(spark, sf_dir, "models").select("board_column").filter("board_column is not null").distinct().collect()  # a fixed table
+    return sentences.sentences(table(spark, sf_dir, "documents"), [r[0] for r in fields])
 
 
 QUERIES = {"p2_found": p2_found, "p2_matches": p2_matches, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_found": p7_found, "p8_found": p8_found}

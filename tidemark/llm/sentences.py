@@ -3,26 +3,26 @@
 A rule has a pattern for what stands before a position and one for what follows, and says break or no break. At every
 candidate position the tables are gone through in order, and the first rule whose two patterns match decides. The layout
 comes first: blank lines and line breaks part blocks, and a log line, memo line or list entry is one unit. Then come the
-tables of the languages whose script the block has, then the common rules.
+tables of the languages that the block may be in, then the common rules.
 
-The rules need no language tag, for tags are missing or wrong and texts mix languages: a table applies to a block where
-its script occurs. Texts are read whole; the work per text is linear in its length.
+A table applies to a block where its script occurs. Of languages that share a script, one does not apply where the block
+has function words of others and none of its own; the language tag decides nothing else, for tags are missing or wrong
+and texts mix languages. Texts are read whole; the work per text is linear in its length: no pattern reads a stretch
+twice, and rules that cannot match are passed over in groups by one pattern.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Iterator, Sequence
+from functools import cache, lru_cache
 from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SPANS = T.ArrayType(T.StructType([T.StructField("start_char", T.IntegerType()), T.StructField("end_char", T.IntegerType())]))
-
 
 class Rule(NamedTuple):
     breaks: bool
@@ -31,13 +31,16 @@ class Rule(NamedTuple):
 
 
 class Table(NamedTuple):
+    """Rules of a language or a script; ``language`` is set for languages that share their script with others."""
+
     name: str
     script: str | None
     rules: list[Rule]
+    language: str | None = None
 
 
 # Marks that end sentences, marks that may close them, and abbreviations by language.
-STOPS = r".!?…。！？।॥؟۔｡．;"
+STOPS = r".!?…。！？।॥؟۔｡．;։።፧။។៕།"
 CLOSERS = r"""(?:["'”’»」』）)\]}】》›]|“(?=[\s,.;:!?)]|\Z))"""
 OPENERS = r"""["'“‘«„「『（(\[{【《‹¿¡]"""
 TITLES = {
@@ -77,6 +80,15 @@ GERMAN_COUNTED = "Woche|Wochen|Spieltag|Spieltags|Spieltages|Platz|Rang|Runde|Ma
 CHINESE_SAYING = "说|道|问|写|答|称|喊|表示|认为|指出"
 
 
+# Common function words, by which a block's language is told.
+FUNCTION_WORDS = {
+    "en": "the of and to in is was for on with that it at by from are this not but",
+    "de": "der die das und ist nicht ein eine zu den von mit auf für im sich dem war auch",
+    "fr": "le la les et des du une est dans pour pas que qui sur au avec il ce",
+    "es": "el la los las y de una es en que por con se del al no para su",
+}
+
+
 def _words(names: str) -> str:
     return "|".join(sorted(map(regex.escape, names.split()), key=len, reverse=True))
 
@@ -91,7 +103,7 @@ def _abbreviations(lang: str) -> list[Rule]:
 
 
 TABLES = [
-    *(Table(lang, SCRIPTS[lang], _abbreviations(lang)) for lang in SCRIPTS),
+    *(Table(lang, SCRIPTS[lang], _abbreviations(lang), lang if lang in FUNCTION_WORDS else None) for lang in SCRIPTS),
     Table(
         "de",
         "Latin",
@@ -99,6 +111,7 @@ TABLES = [
             Rule(False, r"(?<![\p{L}\p{N}])\p{N}{1,4}\.", rf"\s+(?:{GERMAN_COUNTED})(?!\p{{L}})"),
             Rule(False, r"(?<!\p{L})[zZ]\.", r"\s+B\."),
         ],
+        "de",
     ),
     Table(
         "names",
@@ -122,7 +135,7 @@ TABLES = [
             Rule(False, r"\p{Thai}", r"\s+ๆ"),
             Rule(True, r"\p{Thai}", r"\s+[“\"(«]?\p{Thai}"),
             # a sentence in Latin letters follows: it has two plain words in a row and its own end mark
-            Rule(True, r"\p{Thai}", r"\s+[“\"(]?\p{Lu}[^\p{Thai}\n]*?\p{Ll}+ \p{Ll}+[^\p{Thai}\n]*?[.!?]"),
+            Rule(True, r"\p{Thai}", r"\s+[“\"(]?\p{Lu}(?>[^\p{Thai}\n]*?\p{Ll} \p{Ll})(?>[^\p{Thai}\n]*?[.!?])"),
             Rule(True, r"(?:ครับ|ค่ะ|คะ)", r"\s+[“\"(]?\p{Lu}"),
             Rule(False, r"\p{Thai}", r"\s"),
         ],
@@ -133,8 +146,6 @@ TABLES = [
         [
             Rule(False, r";", r""),
             Rule(False, r"．", r"\p{N}"),
-            # a column's name may begin a sentence in lower case
-            Rule(True, rf"[.!?…]{CLOSERS}*", r"\s+line[a-z]{3,}\s"),
             Rule(False, rf"[{STOPS}](?:\s?{CLOSERS})*", r"\s*\p{Ll}"),
             Rule(False, rf"[{STOPS}](?:\s?{CLOSERS})*", r"\s*[\-–—]+\s*\p{Ll}"),
             Rule(False, rf"[{STOPS}](?:\s?{CLOSERS})*", r"\s*[,;:)\]}»”%]"),
@@ -146,6 +157,9 @@ TABLES = [
             Rule(False, r"(?<![\p{L}\p{M}\p{N}])[\p{Arabic}\p{Devanagari}]\p{M}*\.", r"\s"),
             Rule(True, rf"[.!?…؟۔।॥](?:\s?{CLOSERS})*", r"\s"),
             Rule(True, rf"[。！？｡．][”」』）)\"']*", r""),
+            # full stops of further scripts; a Tibetan one also parts clauses that a blank does not follow
+            Rule(True, rf"[։።፧။។៕]{CLOSERS}*", r""),
+            Rule(True, r"།", r"\s"),
             # the blank between two sentences is missing
             Rule(True, rf"[\p{{L}}\p{{N}}&)”\"»%][\p{{L}}\p{{N}})”\"»][.!?…؟]{CLOSERS}*", r"[“„«\"(¿¡]*\p{Lu}(?:\p{Ll}|\s)"),
             Rule(True, rf"[\p{{L}}\p{{N}}][\p{{L}}\p{{M}}\p{{N}}][.!?؟]", r"[\p{Devanagari}\p{Arabic}\p{Hangul}\p{Thai}\p{Han}]"),
@@ -165,30 +179,102 @@ LINE_SOURCES = frozenset({"status_log", "bet_memo"})
 WRAPPED_SOURCES = frozenset({"mail_digest"})
 
 
-@lru_cache(maxsize=1)
-def _compiled():
+_SCRIPTS = {s: regex.compile("[" + "".join(rf"\p{{{x}}}" for x in s.split("|")) + "]") for s in {t.script for t in TABLES if t.script}}
+_FUNCTION = regex.compile(rf"(?i)\b(?:{_words(' '.join(sorted({w for ws in FUNCTION_WORDS.values() for w in ws.split()})))})\b")
+_SPEAKERS = {w: [lang for lang, ws in FUNCTION_WORDS.items() if w in ws.split()] for ws in FUNCTION_WORDS.values() for w in ws.split()}
+
+
+class _Ready(NamedTuple):
+    breaks: bool
+    before: regex.Pattern
+    after: regex.Pattern
+    language: str | None
+
+
+class _Group(NamedTuple):
+    """Rules that follow each other, with a pattern that any of them needs: before the position, or after it."""
+
+    before: regex.Pattern | None
+    after: regex.Pattern | None
+    rules: list[_Ready]
+
+
+#: What rules that hang on the text after a mark or a number have before it.
+_ANY_MARK = (f"[{STOPS}]", "[.…]", r"\.", r"(?<![\p{L}\p{N}])\p{N}")
+
+
+def _names_table(names: tuple[str, ...]) -> list[Table]:
+    """A name that is written in lower case may begin a sentence."""
+    return [Table("lower-case names", None, [Rule(True, rf"[.!?…]{CLOSERS}*", rf"\s+(?:{_words(' '.join(names))})\s")])] if names else []
+
+
+@lru_cache(maxsize=256)
+def _groups(scripts: frozenset[str], names: tuple[str, ...]) -> list[_Group]:
+    """The rules of a block's tables in order. Whether rules hang on what stands before or after decides the group's pattern."""
+    kinds: list[tuple[str, list[tuple[Rule, str | None]]]] = []
+    for t in [*TABLES[:-1], *_names_table(names), TABLES[-1]]:
+        if t.script is None or t.script in scripts:
+            for r in t.rules:
+                kind = "single" if r.breaks else "after" if r.before.startswith(_ANY_MARK) else "before"
+                if kind == "single" or not kinds or kinds[-1][0] != kind:
+                    kinds.append((kind, []))
+                kinds[-1][1].append((r, t.language))
     out = []
-    for t in TABLES:
-        script = None if t.script is None else regex.compile("[" + "".join(rf"\p{{{s}}}" for s in t.script.split("|")) + "]")
-        out.append((script, [(r.breaks, regex.compile("(?r)" + r.before), regex.compile(r.after)) for r in t.rules]))
+    for kind, rules in kinds:
+        ready = [_Ready(r.breaks, _pattern("(?r)" + r.before), _pattern(r.after), lang) for r, lang in rules]
+        one = lambda part: "|".join(f"(?:{getattr(r, part)})" for r, _ in rules)  # noqa: B023, E731
+        out.append(_Group(_pattern("(?r)" + one("before")) if kind == "before" else None, _pattern(one("after")) if kind == "after" else None, ready))
     return out
 
 
-def _breaks(text: str, start: int, end: int) -> list[int]:
+@cache
+def _pattern(p: str) -> regex.Pattern:
+    return regex.compile(p)
+
+
+def _scripts(block: str) -> frozenset[str]:
+    if block.isascii():
+        return frozenset(["Latin"])
+    return frozenset(s for s, p in _SCRIPTS.items() if p.search(block))
+
+
+def _other_languages(block: str) -> frozenset[str]:
+    """Languages of the Latin script that the block is not in: it has two function words of others and none of theirs."""
+    n = dict.fromkeys(FUNCTION_WORDS, 0)
+    for word in _FUNCTION.findall(block):
+        for lang in _SPEAKERS.get(word.lower(), ()):
+            n[lang] += 1
+    return frozenset(lang for lang, k in n.items() if not k) if max(n.values()) >= 2 else frozenset()
+
+
+def _breaks(text: str, start: int, end: int, names: tuple[str, ...]) -> list[int]:
     """Offsets in a block where a unit ends and another begins, by the first rule that matches at each candidate."""
     candidates = [m.end() for m in _CANDIDATE.finditer(text, start, end)]
-    if not candidates:
+    if not candidates or candidates == [end]:
         return []
-    rules = [r for script, table in _compiled() if script is None or script.search(text, start, end) for r in table]
+    block, others = text[start:end], None
+    groups = _groups(_scripts(block), names)
     out = []
     for at in candidates:
         if at >= end:
             continue
-        for breaks, before, after in rules:
-            if before.match(text, start, at) and after.match(text, at, end):
-                if breaks:
-                    out.append(at)
+        found = None
+        for g in groups:
+            if (g.before and not g.before.match(text, start, at)) or (g.after and not g.after.match(text, at, end)):
+                continue
+            for r in g.rules:
+                # first the side that fails more often
+                if (r.before.match(text, start, at) and r.after.match(text, at, end)) if g.before else (r.after.match(text, at, end) and r.before.match(text, start, at)):
+                    if r.language:
+                        others = _other_languages(block) if others is None else others
+                        if r.language in others:
+                            continue
+                    found = r
+                    break
+            if found:
                 break
+        if found and found.breaks:
+            out.append(at)
     return out
 
 
@@ -210,10 +296,11 @@ def _trimmed(text: str, start: int, end: int) -> tuple[int, int] | None:
     return start, start + len(left.rstrip())
 
 
-def segment(text: str | None, source: str | None = None) -> list[tuple[int, int]]:
+def segment(text: str | None, source: str | None = None, names: tuple[str, ...] = ()) -> list[tuple[int, int]]:
     """(start, end) of each unit of a text, in code points, without white space at either end.
 
-    Null, empty and blank texts have no units. An unknown source is prose whose line breaks end units.
+    Null, empty and blank texts have no units. An unknown source is prose whose line breaks end units. ``names`` are
+    words that are in lower case at a sentence's start too.
     """
     if not text:
         return []
@@ -226,7 +313,7 @@ def segment(text: str | None, source: str | None = None) -> list[tuple[int, int]
         if source in LINE_SOURCES or _ENTRY.match(text, start, end) or _LOG.match(text, start, end):
             out.append(whole)
             continue
-        for at in [*_breaks(text, start, end), end]:
+        for at in [*_breaks(text, start, end, names), end]:
             unit = _trimmed(text, start, at)
             if unit:
                 out.append(unit)
@@ -234,16 +321,25 @@ def segment(text: str | None, source: str | None = None) -> list[tuple[int, int]
     return out
 
 
-@F.pandas_udf(SPANS)
-def _spans(text: pd.Series, source: pd.Series) -> pd.Series:
-    return pd.Series([[{"start_char": a, "end_char": b} for a, b in segment(t, s)] for t, s in zip(text, source, strict=True)])
-
-
-def sentences(docs: DataFrame) -> DataFrame:
+def sentences(docs: DataFrame, names: Sequence[str] = ()) -> DataFrame:
     """doc_id, start_char, end_char: the units of every text, by the rule tables.
 
-    ``docs`` needs doc_id, text and source; other columns are ignored. Null, empty and blank texts give no rows;
-    repeated rows give their units each time. An empty table gives no rows.
+    ``docs`` needs doc_id, text and source; other columns are ignored. ``names``, a short list, are words that are in
+    lower case at a sentence's start too, such as the fields of the data that the texts are about. Null, empty and blank
+    texts give no rows; repeated rows give their units each time. An empty table gives no rows.
     """
-    spans = docs.filter(F.col("text").isNotNull()).select("doc_id", F.explode(_spans("text", "source")).alias("u"))
-    return spans.select("doc_id", "u.start_char", "u.end_char")
+    known = tuple(sorted({n for n in names if n and not n.isspace()}))
+
+    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            doc, first, last = [], [], []
+            for i, (text, source) in enumerate(zip(b.column("text").to_pylist(), b.column("source").to_pylist(), strict=True)):
+                for start, end in segment(text, source, known):
+                    doc.append(i)
+                    first.append(start)
+                    last.append(end)
+            ids = b.column("doc_id").take(pa.array(doc, type=pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(first, type=pa.int32()), pa.array(last, type=pa.int32())], ["doc_id", "start_char", "end_char"])
+
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("start_char", T.IntegerType()), T.StructField("end_char", T.IntegerType())])
+    return docs.filter(F.col("text").isNotNull()).select("doc_id", "text", "source").mapInArrow(units, schema)
