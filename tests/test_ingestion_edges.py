@@ -129,3 +129,12 @@ def test_a_field_beside_its_new_name_is_kept(spark):
     rows = [(1.0, '{"old":"2","older":"3"}'), (None, '{"old":"2","older":"3"}'), (None, '{"older":"3"}'), (1.0, '{"old":"x"}'), (None, '{"old":"2"}')]
     got = [tuple(r) for r in schema_drift.promote(spark.createDataFrame(rows, "line double, _rescued string").coalesce(1), {"old": "line", "older": "line"}).collect()]
     assert got == [(1.0, '{"old":"2","older":"3"}'), (2.0, '{"older":"3"}'), (3.0, None), (1.0, '{"old":"x"}'), (2.0, None)]
+
+
+def test_a_rename_holds_for_its_stream_only(spark):
+    def rows(stream, *contents):
+        return [(stream * 10 + i, f"g{stream}", 1, T0 + dt.timedelta(days=i), c, "n", 0) for i, c in enumerate(contents)]
+
+    f = spark.createDataFrame(rows(1, "road,home,linea\na,b,2\n", "road,home,new\na,b,2\n") + rows(2, "road,home,linea,new\na,b,2,7\n") + rows(3, "road,home\na,b\n") + [(90, None, None, T0, "road,home,new\nc,d,5\n", "n", 0)], FILES)
+    got = {r.file_id: (r.linea, r.new) for r in schema_drift.one_table(f, ["sport_key", "season"], "delivered_ts", ["linea"]).collect()}
+    assert got == {10: (2.0, None), 11: (2.0, None), 20: (2.0, 7.0), 30: (None, None), 90: (None, 5.0)}
