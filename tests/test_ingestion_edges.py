@@ -138,3 +138,18 @@ def test_a_rename_holds_for_its_stream_only(spark):
     f = spark.createDataFrame(rows(1, "road,home,linea\na,b,2\n", "road,home,new\na,b,2\n") + rows(2, "road,home,linea,new\na,b,2,7\n") + rows(3, "road,home\na,b\n") + [(90, None, None, T0, "road,home,new\nc,d,5\n", "n", 0)], FILES)
     got = {r.file_id: (r.linea, r.new) for r in schema_drift.one_table(f, ["sport_key", "season"], "delivered_ts", ["linea"]).collect()}
     assert got == {10: (2.0, None), 11: (2.0, None), 20: (2.0, 7.0), 30: (None, None), 90: (None, 5.0)}
+
+
+def test_number_masks_are_those_of_the_text_form(spark):
+    values = [0.0, 1.0, -1.5, 0.001, 0.00099, -0.0001, 9999999.0, 1e7, -1e7, 1e300, 5e-324, float("inf"), float("-inf")]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    x = F.col("x") + F.lit(0.0)
+    for r in df.select("x", quality_profile.number_mask(x, False).alias("a"), quality_profile.value_mask(x.cast("string")).alias("b")).collect():
+        assert r.a == r.b, r
+    n = spark.createDataFrame([(v,) for v in (0, 7, -7, 10**12)], "x bigint")
+    for r in n.select(quality_profile.number_mask(F.col("x").cast("double"), True).alias("a"), quality_profile.value_mask(F.col("x").cast("string")).alias("b")).collect():
+        assert r.a == r.b
+
+
+def test_marks_do_not_split_masks(spark):
+    assert [r[0] for r in spark.createDataFrame([("हिन्दी में 12",), ("Ábc",)], "x string").select(quality_profile.value_mask(F.col("x"))).collect()] == ["a a 9", "Aa"]

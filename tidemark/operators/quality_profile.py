@@ -4,8 +4,10 @@ Number columns: one shuffle of the rows by load, then the sorted values of each
 of more than ``HOT_ROWS`` rows is never held by one task: its cells are counted by value, split at approximate quantiles
 and ranked within these ranges, which gives the same exact figures.
 
-Text columns: values are counted per load, generalised to masks of character classes, and the masks' counts carry the
-pattern violations. Masks that are rare over a stream are reported, and how far a load's masks diverge from the last's.
+Values of every column are generalised to masks of character classes. A load's masks carry how many values they stand
+for, the missing ones too, their extremes and their pattern violations: missing shares, ranges and violations are read
+from the masks, and only distinct counts and quantiles need the values. Masks that are rare over a stream are reported,
+and how far a load's masks diverge from the last's.
 """
 
 from __future__ import annotations
@@ -32,12 +34,19 @@ _FIGURES = ["n_rows", "n_missing", "n_distinct", "min_value", *_QUANTILES, "max_
 
 
 def value_mask(c: Column) -> Column:
-    """Character classes in runs: ``A`` upper-case letters, ``a`` other letters, ``9`` digits, others as they are."""
+    """Character classes in runs: ``A`` upper-case letters, ``a`` other letters and marks, ``9`` digits, others as they are."""
     m = F.regexp_replace(c, r"\p{Lu}+", "A")
-    m = F.regexp_replace(m, r"[\p{L}&&[^A]]+", "a")
+    m = F.regexp_replace(m, r"[\p{L}\p{M}&&[^A]]+", "a")
     return F.regexp_replace(m, r"\p{N}+", "9")
 
 
+def number_mask(x: Column, whole: bool) -> Column:
+    """``value_mask`` of a number's text form, told from its size; ``x`` is a double without NaN and -0."""
+    a = F.abs(x)
+    form = F.lit("9") if whole else F.when(a == float("inf"), "Aa").when(a >= 1e7, "9.9A9").when((a > 0) & (a < 1e-3), "9.9A-9").otherwise("9.9")
+    return F.when(x < 0, F.concat(F.lit("-"), form)).otherwise(form)
+
+
 def is_number_type(t: T.DataType) -> bool:
     return isinstance(t, T.NumericType)
 
@@ -136,44 +145,85 @@ def number_profile(rows: DataFrame, stream: Sequence[str], label: str, ts: str,
     return _by_load(on("left_anti"), keys, ts, columns).unionByName(_by_range(on("left_semi"), keys, ts, columns, few))
 
 
-def mask_counts(rows: DataFrame, stream: Sequence[str], label: str, patterns: dict[str, str | None]) -> DataFrame:
-    """stream, label, column_name, mask, n, n_values, n_bad: each load's masks by text column.
+def text_masks(rows: DataFrame, stream: Sequence[str], label: str, patterns: dict[str, str | None]) -> DataFrame:
+    """stream, label, column_name, mask, n, n_values, n_bad, lo, hi: each load's masks by text column.
 
     ``patterns`` names the columns, with the pattern that a value must match in full or None. Blank texts are missing
-    and have no mask. Values are counted before they are masked, so a value that fills a third of all rows is one row.
+    and have the mask ''. Values are counted before they are masked, so a value that fills a third of all rows is one
+    row; ``lo`` and ``hi`` are null.
     """
     keys = [*stream, label]
     cells = rows.filter(F.col(label).isNotNull()).select(*keys, F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in patterns))).alias("_c")).select(*keys, "_c.*")
-    values = cells.filter(~F.col("value").rlike(r"(?U)\A\s*\z")).groupBy(*keys, "column_name", "value").agg(F.count("*").alias("n"))
+    blank = F.coalesce(F.col("value").rlike(r"(?U)\A\s*\z"), F.lit(True))
+    values = cells.withColumn("value", F.when(~blank, F.col("value"))).groupBy(*keys, "column_name", "value").agg(F.count("*").alias("n"))
     bad = F.lit(False)
     for c, p in patterns.items():
         if p is not None:
             bad = F.when(F.col("column_name") == c, ~F.col("value").rlike(rf"\A(?:{p})\z")).otherwise(bad)
     return (
-        values.select(*keys, "column_name", value_mask(F.col("value")).alias("mask"), "n", bad.alias("bad"))
+        values.select(*keys, "column_name", F.coalesce(value_mask(F.col("value")), F.lit("")).alias("mask"), "n", F.coalesce(bad, F.lit(False)).alias("bad"))
         .groupBy(*keys, "column_name", "mask")
-        .agg(F.sum("n").alias("n"), F.count("*").alias("n_values"), F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("n_bad"))
+        .agg(F.sum("n").alias("n"), F.count(F.when(F.col("mask") != "", 1)).alias("n_values"), F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("n_bad"))
+        .withColumns({"lo": F.lit(None).cast("double"), "hi": F.lit(None).cast("double")})
+    )
+
+
+def number_masks(rows: DataFrame, stream: Sequence[str], label: str, columns: Sequence[str]) -> DataFrame:
+    """stream, label, column_name, mask, n, n_values (null), n_bad (0), lo, hi: each load's masks by number column.
+
+    Null and NaN are missing and have the mask ''. Counted as the rows are read: few masks stand for many values.
+    """
+    keys = [*stream, label]
+    whole = {f.name: isinstance(f.dataType, T.IntegralType) for f in rows.schema.fields}
+    value = {c: normal_double(F.col(c).cast("double")) for c in columns}
+    cell = lambda c: F.struct(F.lit(c).alias("column_name"), value[c].alias("x"), F.coalesce(F.when(value[c].isNotNull(), number_mask(value[c], whole[c])), F.lit("")).alias("mask"))
+    cells = rows.filter(F.col(label).isNotNull()).select(*keys, F.explode(F.array(*(cell(c) for c in columns))).alias("_c")).select(*keys, "_c.*")
+    counted = cells.groupBy(*keys, "column_name", "mask").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    return counted.select(*keys, "column_name", "mask", "n", F.lit(None).cast("bigint").alias("n_values"), F.lit(0).cast("bigint").alias("n_bad"), "lo", "hi")
+
+
+def mask_counts(rows: DataFrame, stream: Sequence[str], label: str, patterns: dict[str, str | None], numbers: Sequence[str] = ()) -> DataFrame:
+    """The masks of text columns (``patterns``) and of ``numbers``, missing values under ''."""
+    parts = [text_masks(rows, stream, label, patterns)] if patterns else []
+    parts += [number_masks(rows, stream, label, numbers)] if numbers else []
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def mask_profile(masks: DataFrame, stream: Sequence[str], label: str) -> DataFrame:
+    """stream, label, column_name, n_rows, n_missing, n_values, n_masks, n_bad, min_value, max_value: a column's figures from its masks."""
+    seen = F.col("mask") != ""
+    return masks.groupBy(*stream, label, "column_name").agg(
+        F.sum("n").alias("n_rows"),
+        F.sum(F.when(~seen, F.col("n")).otherwise(0)).alias("n_missing"),
+        F.sum("n_values").alias("n_values"),
+        F.count_if(seen).alias("n_masks"),
+        F.sum("n_bad").alias("n_bad"),
+        F.min("lo").alias("min_value"),
+        F.max("hi").alias("max_value"),
     )
 
 
 def text_profile(rows: DataFrame, stream: Sequence[str], label: str, ts: str, patterns: dict[str, str | None]) -> DataFrame:
     """stream, label, load_at, column_name, n_rows, n_missing, n_distinct, n_masks, n_bad: one row per load and column."""
     keys = [*stream, label]
-    loads = _loads(rows, stream, label, ts).select(*keys, "load_at", "n_rows", F.explode(F.array(*(F.lit(c) for c in patterns))).alias("column_name")).alias("l")
-    seen = mask_counts(rows, stream, label, patterns).groupBy(*keys, "column_name").agg(F.sum("n").alias("n"), F.sum("n_values").alias("n_distinct"), F.count("*").alias("n_masks"), F.sum("n_bad").alias("n_bad")).alias("s")
-    on = [F.col(f"l.{k}").eqNullSafe(F.col(f"s.{k}")) for k in [*keys, "column_name"]]
-    zero = lambda c: F.coalesce(F.col(f"s.{c}"), F.lit(0)).cast("bigint")
-    return loads.join(seen, on, "left").select(*(F.col(f"l.{c}") for c in [*keys, "load_at", "column_name", "n_rows"]), (F.col("l.n_rows") - zero("n")).alias("n_missing"), *(zero(c).alias(c) for c in ("n_distinct", "n_masks", "n_bad")))
+    seen = mask_profile(text_masks(rows, stream, label, patterns), stream, label)
+    return with_load_time(seen, rows, stream, label, ts).select(*keys, "load_at", "column_name", "n_rows", "n_missing", F.col("n_values").alias("n_distinct"), "n_masks", "n_bad")
+
+
+def with_load_time(profile: DataFrame, rows: DataFrame, stream: Sequence[str], label: str, ts: str) -> DataFrame:
+    """``profile`` with load_at, the load's earliest time."""
+    loads, p = _loads(rows, stream, label, ts).alias("l"), profile.alias("s")
+    return p.join(loads, [F.col(f"l.{k}").eqNullSafe(F.col(f"s.{k}")) for k in [*stream, label]]).select("s.*", "l.load_at")
 
 
-def mask_report(rows: DataFrame, stream: Sequence[str], label: str, ts: str, patterns: dict[str, str | None]) -> DataFrame:
-    """stream, label, column_name, n_masks, dominant_mask, rare_values, divergence: one row per load and text column.
+def mask_report(rows: DataFrame, stream: Sequence[str], label: str, ts: str, patterns: dict[str, str | None], numbers: Sequence[str] = ()) -> DataFrame:
+    """stream, label, column_name, n_masks, dominant_mask, rare_values, divergence: one row per load and column with values.
 
     ``rare_values`` counts the values whose mask has less than ``RARE_SHARE`` of the column's values in the whole
     stream; ``divergence`` is the Jensen-Shannon divergence (base 2) from the preceding load's masks, null at the first.
     """
     keys = [*stream, label]
-    masks = mask_counts(rows, stream, label, patterns)
+    masks = mask_counts(rows, stream, label, patterns, numbers).filter(F.col("mask") != "")
     stream_all = Window.partitionBy(*stream, "column_name")
     by_mask = masks.groupBy(*stream, "column_name", "mask").agg(F.sum("n").alias("stream_n"))
     rare = by_mask.withColumn("rare", F.col("stream_n") < RARE_SHARE * F.sum("stream_n").over(stream_all)).alias("y")
@@ -204,8 +254,8 @@ def mask_report(rows: DataFrame, stream: Sequence[str], label: str, ts: str, pat
 def issues(profile: DataFrame, limits: DataFrame, stream: Sequence[str], label: str) -> DataFrame:
     """stream, label, column_name, issue: the columns that break their limits or differ from the preceding load.
 
-    ``profile`` unites number_profile and text_profile (figures that one lacks are null); ``limits`` has column_name,
-    min_ok and max_ok, one row per checked column, a fixed table.
+    ``profile`` has mask_profile's figures, load_at, and for numbers the quantiles; a text column's n_distinct is the sum
+    over its masks. ``limits`` has column_name, min_ok and max_ok, one row per checked column, a fixed table.
     """
     w = Window.partitionBy(*stream, "column_name").orderBy(F.col("load_at").asc_nulls_first(), label)
     last = lambda c: F.lag(c).over(w)

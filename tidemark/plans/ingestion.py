@@ -72,10 +72,18 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         numbers, texts = _columns(spark, sf_dir, name, set(checked))
         if not numbers and not texts:
             continue
-        profile = _profile(spark, sf_dir, name, numbers, {c: checked[c] for c in texts})
-        for c in ("min_value", "max_value", "q1", "median", "q3"):
-            profile = profile if c in profile.columns else profile.withColumn(c, F.lit(None).cast("double"))
-        profile = profile if "n_bad" in profile.columns else profile.withColumn("n_bad", F.lit(None).cast("bigint"))
+        label, ts = PROFILED[name]
+        rows, keys = table(spark, sf_dir, name).withColumnRenamed(label, "load_label"), [*STREAM, "load_label", "column_name"]
+        # missing shares, ranges and pattern violations come from the masks; distinct counts and quantiles need the values
+        masks = quality_profile.mask_profile(quality_profile.mask_counts(rows, STREAM, "load_label", {c: checked[c] for c in texts}, numbers), STREAM, "load_label").alias("m")
+        figures = ("n_distinct", "q1", "median", "q3")
+        if numbers:
+            values = quality_profile.number_profile(rows, STREAM, "load_label", ts, numbers).select(*keys, *figures).alias("v")
+            both = masks.join(values, [F.col(f"m.{k}").eqNullSafe(F.col(f"v.{k}")) for k in keys], "left")
+            profile = both.select(*(F.col(f"m.{c}") for c in masks.columns if c != "n_values"), F.coalesce("m.n_values", "v.n_distinct").alias("n_distinct"), *(F.col(f"v.{c}") for c in figures[1:]))
+        else:
+            profile = masks.withColumnRenamed("n_values", "n_distinct").withColumns({c: F.lit(None).cast("double") for c in figures[1:]})
+        profile = quality_profile.with_load_time(profile, rows, STREAM, "load_label", ts)
         own = limits.filter(F.col("table_name") == name).select("column_name", "min_ok", "max_ok").dropDuplicates(["column_name"])
         found = quality_profile.issues(profile, own, STREAM, "load_label").select(F.lit(name).alias("table_name"), *STREAM, "load_label", "column_name", "issue")
         out = found if out is None else out.unionByName(found)
@@ -100,9 +108,7 @@ def p5_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, (label, ts) in PROFILED.items():
         numbers, texts = _columns(spark, sf_dir, name)
         rows = table(spark, sf_dir, name).withColumnRenamed(label, "load_label")
-        # NaN is missing and -0 is 0, as in the number profile
-        rows = rows.withColumns({c: normal_double(F.col(c).cast("double")).cast("string") if t in ("float", "double") else F.col(c).cast("string") for c, t in rows.dtypes if c in numbers})
-        told = quality_profile.mask_report(rows, STREAM, "load_label", ts, dict.fromkeys([*numbers, *texts]))
+        told = quality_profile.mask_report(rows, STREAM, "load_label", ts, dict.fromkeys(texts), numbers)
         told = told.select(F.lit(name).alias("table_name"), *STREAM, "load_label", "column_name", "n_masks", "dominant_mask", "rare_values", F.round("divergence", 9).alias("divergence"))
         out = told if out is None else out.unionByName(told)
     return out
