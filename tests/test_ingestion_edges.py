@@ -153,3 +153,14 @@ def test_number_masks_are_those_of_the_text_form(spark):
 
 def test_marks_do_not_split_masks(spark):
     assert [r[0] for r in spark.createDataFrame([("हिन्दी में 12",), ("Ábc",)], "x string").select(quality_profile.value_mask(F.col("x"))).collect()] == ["a a 9", "Aa"]
+
+
+def test_number_masks_count_every_cell(spark):
+    nan = float("nan")
+    values = [1.0, -1.0, nan, None, 1e9, -1e-9, float("inf"), 0.0, -0.0, 2.5]
+    df = spark.createDataFrame([("g", "a" if i % 2 else None, v, i) for v in values for i in (1, 3)] + [("g", "b", None, None)], "s string, load string, x double, k int")
+    got = {(r.load, r.column_name, r["mask"]): (r.n, r.lo, r.hi) for r in quality_profile.number_masks(df, ["s"], "load", ["x", "k"]).collect()}
+    assert got == {
+        ("a", "x", "9.9"): (8, 0.0, 2.5), ("a", "x", "-9.9"): (2, -1.0, -1.0), ("a", "x", ""): (4, None, None), ("a", "x", "9.9A9"): (2, 1e9, 1e9), ("a", "x", "-9.9A-9"): (2, -1e-9, -1e-9), ("a", "x", "Aa"): (2, float("inf"), float("inf")),
+        ("a", "k", "9"): (20, 1.0, 3.0), ("b", "x", ""): (1, None, None), ("b", "k", ""): (1, None, None),
+    }

@@ -40,10 +40,23 @@ def value_mask(c: Column) -> Column:
     return F.regexp_replace(m, r"\p{N}+", "9")
 
 
+# The masks that a number's text form can have, besides its sign.
+NUMBER_MASKS = ["9", "9.9", "9.9A9", "9.9A-9", "Aa"]
+
+
+def _has_form(x: Column, mask: str, whole: bool) -> Column:
+    a = F.abs(x)
+    large, small = a >= 1e7, (a > 0) & (a < 1e-3)
+    if whole:
+        return x.isNotNull() if mask == "9" else F.lit(False)
+    return {"9": F.lit(False), "9.9": ~large & ~small, "9.9A9": large & (a < float("inf")), "9.9A-9": small, "Aa": a == float("inf")}[mask]
+
+
 def number_mask(x: Column, whole: bool) -> Column:
     """``value_mask`` of a number's text form, told from its size; ``x`` is a double without NaN and -0."""
-    a = F.abs(x)
-    form = F.lit("9") if whole else F.when(a == float("inf"), "Aa").when(a >= 1e7, "9.9A9").when((a > 0) & (a < 1e-3), "9.9A-9").otherwise("9.9")
+    form = F.lit(None).cast("string")
+    for m in NUMBER_MASKS:
+        form = F.when(_has_form(x, m, whole), m).otherwise(form)
     return F.when(x < 0, F.concat(F.lit("-"), form)).otherwise(form)
 
 
@@ -175,11 +188,20 @@ def number_masks(rows: DataFrame, stream: Sequence[str], label: str, columns: Se
     """
     keys = [*stream, label]
     whole = {f.name: isinstance(f.dataType, T.IntegralType) for f in rows.schema.fields}
-    value = {c: normal_double(F.col(c).cast("double")) for c in columns}
-    cell = lambda c: F.struct(F.lit(c).alias("column_name"), value[c].alias("x"), F.coalesce(F.when(value[c].isNotNull(), number_mask(value[c], whole[c])), F.lit("")).alias("mask"))
-    cells = rows.filter(F.col(label).isNotNull()).select(*keys, F.explode(F.array(*(cell(c) for c in columns))).alias("_c")).select(*keys, "_c.*")
-    counted = cells.groupBy(*keys, "column_name", "mask").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-    return counted.select(*keys, "column_name", "mask", "n", F.lit(None).cast("bigint").alias("n_values"), F.lit(0).cast("bigint").alias("n_bad"), "lo", "hi")
+    # a column and a mask are one small number while cells are counted
+    masks = sorted({"", *(sign + m for sign in ("", "-") for m in NUMBER_MASKS)})
+    cells = rows.filter(F.col(label).isNotNull()).select(*keys, F.posexplode(F.array(*(F.col(c).cast("double") for c in columns))).alias("_i", "_x"))
+    cells = cells.select(*keys, "_i", normal_double(F.col("_x")).alias("x"))
+    code, x, is_whole = F.lit(masks.index("")), F.col("x"), F.col("_i").isin([i for i, c in enumerate(columns) if whole[c]])
+    for m in NUMBER_MASKS:
+        plus, minus = (F.lit(masks.index(sign + m)) for sign in ("", "-"))
+        form = F.when(is_whole, _has_form(x, m, True)).otherwise(_has_form(x, m, False)) if any(whole[c] for c in columns) else _has_form(x, m, False)
+        code = F.when(form, F.when(x < 0, minus).otherwise(plus)).otherwise(code)
+    cells = cells.select(*keys, (F.col("_i") * len(masks) + code).alias("code"), "x")
+    counted = cells.groupBy(*keys, "code").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    name = lambda names, i: F.element_at(F.array(*map(F.lit, names)), i.cast("int") + 1)
+    named = name(columns, F.floor(F.col("code") / len(masks))).alias("column_name"), name(masks, F.col("code") % len(masks)).alias("mask")
+    return counted.select(*keys, *named, "n", F.lit(None).cast("bigint").alias("n_values"), F.lit(0).cast("bigint").alias("n_bad"), "lo", "hi")
 
 
 def mask_counts(rows: DataFrame, stream: Sequence[str], label: str, patterns: dict[str, str | None], numbers: Sequence[str] = ()) -> DataFrame:
