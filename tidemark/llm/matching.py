@@ -1,8 +1,9 @@
 """Matching records across sources without keys: hand-typed bets to the games they were placed on.
 
 Names are encoded as fixed bit vectors of their character pairs. Vectors within a Hamming radius are found exactly by
-multi-index hashing: of ``CHUNKS`` chunks one at least differs in no more than one bit, so each bet's name asks for its
-chunks and their one-bit neighbours, and no two names are compared that share none. Dates and numbers are encoded as the
+multi-index hashing: of ``CHUNKS`` chunks one at least differs in no more than one bit. Two chunks do so if they are
+equal, or if one without one of its set bits is the other, so both sides look up their chunks whole and with a bit less,
+and no two names are compared that share none. Vectors have few set bits, so these are few. Dates and numbers are encoded as the
 set of their neighbours, so that their Dice score falls with the distance.
 
 The fields' scores, in levels, are weighted by how often true and other pairs show them. These shares are fitted without
@@ -98,21 +99,51 @@ def aliases(name: str, other: str | None, long: str | None) -> dict[str, str]:
     return found
 
 
-def _encode_mentions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _normal_mentions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         pdf["name"] = pdf["mention"].map(normal_name)
-        pdf["chunks"] = pdf["name"].map(bit_vector)
         yield pdf
 
 
-def _encode_teams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _team_aliases(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
         for r in pdf.itertuples(index=False):
             for alias, kind in aliases(r.team, r.schedule_name, r.espn_name).items():
                 if alias:
-                    rows.append((r.sport_key, r.season, r.team, alias, kind, bit_vector(alias)))
-        yield pd.DataFrame(rows, columns=["sport_key", "season", "team", "alias", "kind", "chunks"])
+                    rows.append((r.sport_key, r.season, r.team, alias, kind))
+        yield pd.DataFrame(rows, columns=["sport_key", "season", "team", "alias", "kind"])
+
+
+#: Bits of a vector's half, a long.
+_HALF = CHUNKS * BITS // 2
+
+
+def _keys(asks: bool):
+    """Of names, their vectors as two longs and the keys by which near ones meet: chunk, value, and which side has a bit less.
+
+    0: both sides whole; 1: the side that is asked for has a bit less; 2: the side that asks has.
+    """
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for sport, name in zip(pdf["sport_key"], pdf["name"], strict=True):
+                chunks = bit_vector(name)
+                whole = sum(x << (BITS * i) for i, x in enumerate(chunks))
+                lo, hi = ((whole >> k) & ((1 << _HALF) - 1) for k in (0, _HALF))
+                lo, hi = (x - (1 << _HALF) if x >> (_HALF - 1) else x for x in (lo, hi))
+                for c, v in enumerate(chunks):
+                    rows.append((sport, name, lo, hi, c, v, 0))
+                    rows.append((sport, name, lo, hi, c, v, 1 if asks else 2))
+                    left = v
+                    while left:
+                        bit = left & -left
+                        rows.append((sport, name, lo, hi, c, v ^ bit, 2 if asks else 1))
+                        left ^= bit
+            yield pd.DataFrame(rows, columns=["sport_key", "name", "lo", "hi", "c", "v", "less"])
+
+    return spread
 
 
 def parsed_bets(matches: DataFrame, unmatched: DataFrame) -> DataFrame:
@@ -197,25 +228,30 @@ def games(lines: DataFrame, schedule: DataFrame) -> DataFrame:
     return own.select("game_key", "sport_key", "season", on, F.explode(F.array(*sides)).alias("s")).select("game_key", "sport_key", "season", "kickoff_on", "s.*").filter(F.col("team").isNotNull())
 
 
+def near_vectors(asked: DataFrame, held: DataFrame) -> DataFrame:
+    """sport_key, name, alias, dice: all pairs of a sport's names whose vectors are within RADIUS bits; each name once."""
+    schema = "sport_key string, name string, lo bigint, hi bigint, c int, v int, less int"
+    a = asked.select("sport_key", "name").distinct().mapInPandas(_keys(True), schema)
+    b = held.select("sport_key", F.col("alias").alias("name")).distinct().mapInPandas(_keys(False), schema).select("sport_key", "c", "v", "less", F.col("name").alias("alias"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    ones = lambda x, y: F.bit_count(x) + F.bit_count(y)
+    apart = ones(F.col("lo").bitwiseXOR(F.col("lo2")), F.col("hi").bitwiseXOR(F.col("hi2")))
+    shared = ones(F.col("lo").bitwiseAND(F.col("lo2")), F.col("hi").bitwiseAND(F.col("hi2")))
+    both = ones(F.col("lo"), F.col("hi")) + ones(F.col("lo2"), F.col("hi2"))
+    return a.join(b, ["sport_key", "c", "v", "less"]).filter(apart <= RADIUS).select("sport_key", "name", "alias", (2.0 * shared / both).alias("dice")).distinct()
+
+
 def close_names(mentions: DataFrame, teams: DataFrame) -> DataFrame:
     """sport_key, season, mention, team, dice, kind: all pairs of a stream whose vectors are within RADIUS bits.
 
-    Exact by multi-index hashing; of a team's aliases the closest counts. Aliases of letters must be met fully.
+    Exact by multi-index hashing; of a team's aliases the closest counts. Aliases of letters must be met fully. A name is
+    searched once per sport, however many seasons and spellings lead to it.
     """
     stream = ["sport_key", "season"]
-    said = mentions.select(*stream, "mention").distinct().mapInPandas(_encode_mentions, "sport_key string, season int, mention string, name string, chunks array<int>").filter("name != ''")
+    said = mentions.select(*stream, "mention").distinct().mapInPandas(_normal_mentions, "sport_key string, season int, mention string, name string").filter("name != ''")
     called = teams.groupBy(*stream, "team").agg(F.max("schedule_name").alias("schedule_name"), F.max("espn_name").alias("espn_name"))
-    called = called.mapInPandas(_encode_teams, "sport_key string, season int, team string, alias string, kind string, chunks array<int>")
-    flips = F.concat(F.array(F.lit(0)), F.transform(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda i: F.pow(F.lit(2.0), i).cast("int")))
-    asked = said.select(*stream, "mention", "name", F.col("chunks").alias("a"), F.posexplode("chunks").alias("c", "v")).select(*stream, "mention", "name", "a", "c", F.explode(F.transform(flips, lambda f: F.col("v").bitwiseXOR(f))).alias("v"))
-    held = called.select(*stream, "team", "alias", "kind", F.col("chunks").alias("b"), F.posexplode("chunks").alias("c", "v"))
-    met = asked.join(held, [*stream, "c", "v"])
-    ones = lambda xs: F.aggregate(xs, F.lit(0), lambda s, x: s + x)
-    shared = ones(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseAND(y)).cast("int")))
-    apart = ones(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")))
-    both = ones(F.transform(F.concat("a", "b"), lambda x: F.bit_count(x).cast("int")))
-    scored = met.withColumn("apart", apart).filter(F.col("apart") <= RADIUS).withColumn("dice", 2.0 * shared / both)
-    kept = scored.filter((F.col("dice") >= LEAST_DICE) & ((F.col("kind") != "letters") | (F.col("name") == F.col("alias"))))
+    called = called.mapInPandas(_team_aliases, "sport_key string, season int, team string, alias string, kind string")
+    met = said.join(near_vectors(said, called), ["sport_key", "name"]).join(called, [*stream, "alias"])
+    kept = met.filter((F.col("kind") != "letters") | (F.col("name") == F.col("alias")))
     rank = F.when(F.col("name") == F.col("alias"), F.lit(1.0)).otherwise(F.col("dice") * 0.999)
     order = F.struct(rank.alias("dice"), F.when(F.col("kind") == "full", 3).when(F.col("kind") == "nickname", 2).when(F.col("kind") == "part", 1).otherwise(0).alias("o"), "kind")
     return kept.groupBy(*stream, "mention", "team").agg(F.max(order).alias("best")).select(*stream, "mention", "team", "best.dice", "best.kind")
