@@ -223,3 +223,17 @@ def test_board_matrix_of_all_models(spark, sf):
     assert len(cols) > 50 and set(out.columns) == {"sport_key", "season", "road", "home", *cols}
     long = boards.wide_to_long(boards.latest_snapshot(boards.board_records(b)), cols)
     assert sum(v is not None for r in out.select(*cols).collect() for v in r) == long.select("sport_key", "season", "road", "home", "board_column").distinct().count()
+
+
+def test_stable_k_takes_the_worst_of_three_or_falls_back(spark):
+    def rows(g, *bets):
+        return [(g, i / 4, w, n, 0, x) for i, (w, n, x) in enumerate(bets)]
+
+    p = spark.createDataFrame(
+        rows("mean", (30, 10, 0.60), (20, 10, 0.50), (20, 10, 0.10), (12, 6, 0.90), (12, 5, 0.90))  # by means 0.75 would win
+        + rows("wide", (20, 10, 0.50), (20, 9, 0.501), (20, 8, 0.505), (20, 7, 0.51), (9, 9, 0.52))
+        + rows("thin", (12, 3, 0.5), (3, 1, 0.6), (0, 0, None), (12, 3, 0.4)) + rows("none", (0, 0, None)) + rows("few", (2, 1, 0.2), (1, 2, 0.1), (1, 2, 0.1), (1, 2, 0.1)),
+        "g string, threshold double, wins bigint, losses bigint, pushes int, wilson double",
+    )
+    got = {r.g: (r.k, r.plateau, r.centred) for r in search.stable_k(p, ["g"], 10).collect()}
+    assert got == {"mean": (0.25, 0.1, True), "wide": (0.25, 0.5, True), "thin": (0.75, 0.4, False), "few": (0.75, 0.1, False)}

@@ -32,12 +32,11 @@ def pair_key(a: Column, b: Column) -> Column:
 
 
 def board_records(board: DataFrame) -> DataFrame:
-    """One row per stream, snapshot, road and home: the one with the highest row_id."""
-    own = board.filter(F.col("road").isNotNull() & F.col("home").isNotNull())
+    """One row per stream, snapshot, road and home: the one with the highest row_id (of equal ones the greatest values)."""
     keys = ["sport_key", "season", "snapshot_label", "road", "home"]
-    rest = [c for c in board.columns if c not in keys]
-    top = own.groupBy(*keys).agg(F.max("row_id").alias("row_id"))
-    return own.join(top, [*keys, "row_id"]).dropDuplicates([*keys, "row_id"]).select(*keys, *rest)
+    rest = [c for c in board.columns if c not in (*keys, "row_id")]
+    own = board.filter(F.col("road").isNotNull() & F.col("home").isNotNull())
+    return own.groupBy(*keys).agg(F.max(F.struct("row_id", *rest)).alias("_r")).select(*keys, *(f"_r.{c}" for c in board.columns if c not in keys))
 
 
 def model_columns(board: DataFrame) -> list[str]:

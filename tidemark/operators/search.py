@@ -216,15 +216,24 @@ def meta(cell: DataFrame, grouped: DataFrame, min_available: int = 2) -> DataFra
     return out.select(*GAME, "market", "actual", "communities", F.round("mean", 6).alias("meta_mean"), F.round("sd", 6).alias("meta_sd"))
 
 
-def stable_k(profile: DataFrame, by: Sequence[str], least: int, band: float = 0.01) -> DataFrame:
-    """by, k: the threshold whose neighbours hold up too: near the best mean Wilson end of three steps, most bets, lowest."""
-    w = Window.partitionBy(*by).orderBy("threshold") if by else Window.orderBy("threshold")
-    ok = F.col("bets") >= least
-    p = profile.withColumn("bets", F.col("wins") + F.col("losses") + F.col("pushes"))
-    near = [F.lag("wilson").over(w), F.col("wilson"), F.lead("wilson").over(w)]
-    fine = ok & F.coalesce(F.lag("bets").over(w) >= least, F.lit(False)) & F.coalesce(F.lead("bets").over(w) >= least, F.lit(False))
-    p = p.withColumn("plateau", F.when(fine, F.round((near[0] + near[1] + near[2]) / 3, 6)))
-    all_ = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    p = p.withColumn("best", F.max("plateau").over(all_)).filter(F.col("plateau") >= F.col("best") - band)
-    pick = Window.partitionBy(*(by or [F.lit(1)])).orderBy(F.col("bets").desc(), "threshold")
-    return p.withColumn("_r", F.row_number().over(pick)).filter("_r = 1").select(*by, F.col("threshold").alias("k"), "bets", "plateau")
+def stable_k(profile: DataFrame, by: Sequence[str], least: int, band: float = 0.01, anchor: float = 0.75) -> DataFrame:
+    """by, k, bets, plateau, centred: the threshold whose neighbours hold up too.
+
+    A threshold with ``least`` bets on it and on both sides is as good as the worst Wilson end of the three. Of those
+    within ``band`` of the best, the one with most bets is taken, then the lowest. Where no threshold has such sides, the
+    one with most bets is taken, of enough bets if there is one: then the nearest to ``anchor``, the best end, the lowest.
+    Groups without any bet give no row.
+    """
+    keys = list(by) or [F.lit(1)]
+    w, all_ = Window.partitionBy(*keys).orderBy("threshold"), Window.partitionBy(*keys)
+    p = profile.withColumn("bets", F.col("wins") + F.col("losses") + F.col("pushes")).withColumn("enough", (F.col("bets") >= least) & F.col("wilson").isNotNull())
+    sides = F.coalesce(F.lag("enough").over(w) & F.lead("enough").over(w), F.lit(False))
+    worst = F.least(F.lag("wilson").over(w), F.col("wilson"), F.lead("wilson").over(w))
+    p = p.withColumn("plateau", F.when(F.col("enough") & sides, worst))
+    p = p.withColumn("best", F.max("plateau").over(all_)).withColumn("near", F.coalesce(F.col("plateau") >= F.col("best") - band, F.lit(False)))
+    p = p.filter((F.col("near") & F.col("best").isNotNull()) | (F.col("best").isNull() & (F.col("bets") > 0)))
+    centred = F.col("best").isNotNull()
+    rest = [F.when(~centred, x) for x in (F.abs(F.col("threshold") - anchor), -F.coalesce("wilson", F.lit(-1.0)))]
+    pick = Window.partitionBy(*keys).orderBy(F.when(~centred, F.col("bets") >= least).desc(), F.col("bets").desc(), *rest, "threshold")
+    first = p.withColumn("_r", F.row_number().over(pick)).filter("_r = 1")
+    return first.select(*by, F.col("threshold").alias("k"), "bets", F.coalesce("plateau", "wilson").alias("plateau"), centred.alias("centred"))

@@ -235,12 +235,14 @@ def incremental_rank(spark, d):
 
 
 def edge_calibration(spark, d):
-    """Left-closed bins of the edge's size: games, mean edge towards the pick, mean cover towards it."""
-    g = _graded(spark, d).filter(F.col("edge").isNotNull() & F.col("cover").isNotNull())
-    a = F.abs("edge")
-    b = F.when(a < 1, "0-1").when(a < 2, "1-2").when(a < 4, "2-4").when(a < 7, "4-7").otherwise("7+")
+    """Left-closed bins of the signal, empty ones too: games, record, mean edge towards the pick, mean cover towards it."""
+    bins = ["<0.50", "0.50-0.75", "0.75-1.00", "1.00-1.25", ">=1.25"]
+    g = _graded(spark, d).filter(F.col("signal").isNotNull() & F.col("cover").isNotNull())
+    at = F.element_at(F.array(*map(F.lit, bins)), 1 + sum((F.when(F.col("signal") >= t, 1).otherwise(0) for t in (0.5, 0.75, 1.0, 1.25)), F.lit(0)))
     s = F.signum("edge")
-    return g.groupBy(b.alias("bin")).agg(F.count("*").alias("games"), F.round(F.avg(a), 6).alias("mean_edge"), F.round(F.avg(s * F.col("cover")), 6).alias("mean_cover"))
+    found = g.groupBy(at.alias("bin")).agg(F.count("*").alias("games"), *C.record(), F.round(F.avg(F.abs("edge")), 6).alias("mean_edge"), F.round(F.avg(s * F.col("cover")), 6).alias("mean_cover"))
+    every = spark.createDataFrame([(b,) for b in bins], "bin string").join(F.broadcast(found), "bin", "left")
+    return C.rates(every.fillna(0, ["games", "wins", "losses", "pushes"]))
 
 
 def _ledger(spark, d):

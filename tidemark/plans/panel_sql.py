@@ -195,8 +195,10 @@ SQL: dict[str, str] = {
       s AS (SELECT model, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(y * y) AS syy, sum(x * y) AS sxy FROM x GROUP BY model HAVING count(*) >= 25),
       r AS (SELECT model, n, round(CASE WHEN n * sxx - sx * sx > 1e-9 AND n * syy - sy * sy > 1e-9 THEN greatest(-1.0, least(1.0, (n * sxy - sx * sy) / sqrt((n * sxx - sx * sx) * (n * syy - sy * sy)))) END, 6) AS r FROM s),
       t AS (SELECT *, round(r * sqrt(n / (n + 50.0)), 5) AS score FROM r) SELECT *, row_number() OVER (ORDER BY score DESC NULLS LAST, model) AS rank FROM t""",
-    "edge_calibration": f"""{_G} SELECT CASE WHEN abs(edge) < 1 THEN '0-1' WHEN abs(edge) < 2 THEN '1-2' WHEN abs(edge) < 4 THEN '2-4' WHEN abs(edge) < 7 THEN '4-7' ELSE '7+' END AS bin, count(*) AS games, round(avg(abs(edge)), 6) AS mean_edge,
-      round(avg(sign(edge) * cover), 6) AS mean_cover FROM g WHERE edge IS NOT NULL AND cover IS NOT NULL GROUP BY 1""",
+    "edge_calibration": f"""{_G}, b AS (SELECT unnest(['<0.50', '0.50-0.75', '0.75-1.00', '1.00-1.25', '>=1.25']) AS bin),
+      x AS (SELECT CASE WHEN signal < 0.5 THEN '<0.50' WHEN signal < 0.75 THEN '0.50-0.75' WHEN signal < 1 THEN '0.75-1.00' WHEN signal < 1.25 THEN '1.00-1.25' ELSE '>=1.25' END AS bin, edge, cover, grade FROM g WHERE signal IS NOT NULL AND cover IS NOT NULL),
+      z AS (SELECT b.bin, count(x.bin) AS games, count_if(grade = 'win') AS wins, count_if(grade = 'loss') AS losses, count_if(grade = 'push') AS pushes, round(avg(abs(edge)), 6) AS mean_edge, round(avg(sign(edge) * cover), 6) AS mean_cover
+        FROM b LEFT JOIN x USING (bin) GROUP BY b.bin) SELECT *, {_RATES} FROM z""",
     "equity_drawdown": f"""{_LEDGER}, r AS (SELECT *, sum(unit) OVER w AS cum FROM l WINDOW w AS (PARTITION BY season ORDER BY wk, game_key ROWS UNBOUNDED PRECEDING)),
       q AS (SELECT *, greatest(0, max(cum) OVER (PARTITION BY season ORDER BY wk, game_key ROWS UNBOUNDED PRECEDING)) AS peak FROM r) SELECT season, count(*) AS bets, sum(unit)::BIGINT AS final, min(cum - peak)::BIGINT AS max_drawdown FROM q GROUP BY season""",
     "losing_streak": f"""{_LEDGER}, i AS (SELECT season, grade, row_number() OVER (PARTITION BY season ORDER BY wk, game_key) - row_number() OVER (PARTITION BY season, grade ORDER BY wk, game_key) AS k FROM l),
@@ -206,9 +208,12 @@ SQL: dict[str, str] = {
     "combo_pair_frequency": f"{_BOARD}, u AS (SELECT rank, unnest(string_split(models, '|')) AS model FROM lb) SELECT a.model AS model_a, b.model AS model_b, count(*) AS subsets FROM u a JOIN u b ON a.rank = b.rank AND a.model < b.model GROUP BY 1, 2",
     "jaccard_pairs": f"""{_BOARD} SELECT a.rank AS rank_a, b.rank AS rank_b, round(len(list_intersect(string_split(a.models, '|'), string_split(b.models, '|')))::DOUBLE / len(list_distinct(string_split(a.models, '|') || string_split(b.models, '|'))), 6) AS jaccard
       FROM lb a JOIN lb b ON a.rank < b.rank""",
-    "stable_k": f"""WITH z AS ({_grid(K_GRID, "signal", "sport_key", keep=True)}), p AS (SELECT *, wins + losses + pushes AS bets, lag(wins + losses + pushes) OVER w AS b0, lead(wins + losses + pushes) OVER w AS b1, lag(wilson) OVER w AS w0, lead(wilson) OVER w AS w1 FROM z WINDOW w AS (PARTITION BY sport_key ORDER BY threshold)),
-      q AS (SELECT *, CASE WHEN bets >= 10 AND coalesce(b0 >= 10, FALSE) AND coalesce(b1 >= 10, FALSE) THEN round((w0 + wilson + w1) / 3, 6) END AS plateau FROM p), r AS (SELECT *, max(plateau) OVER (PARTITION BY sport_key) AS best FROM q)
-      SELECT sport_key, threshold AS k, bets, plateau FROM r WHERE plateau >= best - 0.01 QUALIFY row_number() OVER (PARTITION BY sport_key ORDER BY bets DESC, threshold) = 1""",
+    "stable_k": f"""WITH z AS ({_grid(K_GRID, "signal", "sport_key", keep=True)}), p AS (SELECT *, wins + losses + pushes AS bets, wins + losses + pushes >= 10 AND wilson IS NOT NULL AS enough FROM z),
+      q AS (SELECT *, CASE WHEN enough AND lag(enough) OVER w AND lead(enough) OVER w THEN least(lag(wilson) OVER w, wilson, lead(wilson) OVER w) END AS worst FROM p WINDOW w AS (PARTITION BY sport_key ORDER BY threshold)),
+      r AS (SELECT *, max(worst) OVER (PARTITION BY sport_key) AS best FROM q),
+      centred AS (SELECT sport_key, threshold AS k, bets, worst AS plateau, TRUE AS centred FROM r WHERE worst >= best - 0.01 QUALIFY row_number() OVER (PARTITION BY sport_key ORDER BY bets DESC, threshold) = 1),
+      other AS (SELECT sport_key, threshold AS k, bets, wilson AS plateau, FALSE AS centred FROM r WHERE best IS NULL AND bets > 0 QUALIFY row_number() OVER (PARTITION BY sport_key ORDER BY bets >= 10 DESC, bets DESC, abs(threshold - 0.75), wilson DESC NULLS LAST, threshold) = 1)
+      FROM centred UNION ALL FROM other""",
     "board_long": f"WITH {_BR}, {_UNP.format(src='br')} SELECT snapshot_label, board_column, count(*) AS n, round(avg(pred), 6) AS mean FROM un WHERE NOT isnan(pred) GROUP BY ALL",
     "board_consensus": f"""WITH {_BR}, {_LAST}, cur AS (SELECT br.* FROM br JOIN last USING (sport_key, season, snapshot_label)), {_UNP.format(src="cur")}
       SELECT sport_key, season, road, home, count(*) AS n, round(avg(pred), 6) AS mean, round(stddev_samp(pred), 6) AS sd FROM un JOIN (SELECT lower(board_column) AS board_column FROM models WHERE board_column IS NOT NULL) USING (board_column) WHERE NOT isnan(pred) GROUP BY ALL""",
