@@ -237,3 +237,22 @@ def test_stable_k_takes_the_worst_of_three_or_falls_back(spark):
     )
     got = {r.g: (r.k, r.plateau, r.centred) for r in search.stable_k(p, ["g"], 10).collect()}
     assert got == {"mean": (0.25, 0.1, True), "wide": (0.25, 0.5, True), "thin": (0.75, 0.4, False), "few": (0.75, 0.1, False)}
+
+
+def test_later_seasons_change_no_earlier_fit(spark):
+    rnd = np.random.RandomState(3)
+    rows = []
+    for season in (2023, 2024, 2025):
+        for g in range(60):
+            actual = float(rnd.normal(0, 10))
+            rows += [(f"g{season}_{g}", "s", season, 1, m, actual + float(rnd.normal(0, sd)), 0.0, actual) for m, sd in (("good", 2.0), ("bad", 20.0))]
+    schema = "game_key string, sport_key string, season int, wk int, model string, pred double, market double, actual double"
+    a = spark.createDataFrame(rows, schema)
+    b = spark.createDataFrame([(*r[:5], r[5] * (5 if r[2] == 2025 else 1), r[6], -r[7] if r[2] == 2025 else r[7]) for r in rows], schema)
+    for f, col in ((fitted.ridge_consensus, "ridge"), (fitted.bayes_consensus, "edge")):
+        of = lambda df: {r.game_key: r[col] for r in f(df, ["bad", "good"], prior=True).collect()}  # noqa: B023, E731
+        x, y = of(a), of(b)
+        early = [k for k in x if "2025" not in k]
+        assert len(x) == 180 and all(x[k] == y[k] for k in early) and any(x[k] != y[k] for k in x)
+    ridge = {r.game_key: r.ridge for r in fitted.ridge_consensus(a, ["bad", "good"], least=50, prior=True).collect()}
+    assert all(ridge[k] == 0.0 for k in ridge if "2023" in k) and any(abs(ridge[k]) > 1 for k in ridge if "2024" in k)

@@ -454,11 +454,13 @@ def _registry(spark, d):
 
 
 def ridge_consensus(spark, d):
-    return fitted.ridge_consensus(_cells(spark, d), _registry(spark, d))
+    """Each season's games with weights from the seasons before."""
+    return fitted.ridge_consensus(_cells(spark, d), _registry(spark, d), prior=True)
 
 
 def bayes_consensus(spark, d):
-    return fitted.bayes_consensus(_cells(spark, d), _registry(spark, d))
+    """Each season's games with error covariances from the seasons before."""
+    return fitted.bayes_consensus(_cells(spark, d), _registry(spark, d), prior=True)
 
 
 def density_grid(spark, d):
