@@ -1,6 +1,6 @@
-"""The board's snapshots as a stream: each record's changes as files arrive.
+"""The board's snapshots as a stream, an extension: repeated rows are dropped and events counted in windows as files arrive.
 
-An extension: the batch operator reads all snapshots; this one keeps each key's last line and tells what it sees.
+Change events per key are the batch operator's, which reads all snapshots.
 """
 
 from __future__ import annotations
