@@ -25,9 +25,12 @@ from pyspark.sql import types as T
 
 
 class Rule(NamedTuple):
+    """``far``: what follows may be a long stretch; else it has at most REACH characters after white space."""
+
     breaks: bool
     before: str
     after: str
+    far: bool = False
 
 
 class Table(NamedTuple):
@@ -135,7 +138,7 @@ TABLES = [
             Rule(False, r"\p{Thai}", r"\s+ๆ"),
             Rule(True, r"\p{Thai}", r"\s+[“\"(«]?\p{Thai}"),
             # a sentence in Latin letters follows: it has two plain words in a row and its own end mark
-            Rule(True, r"\p{Thai}", r"\s+[“\"(]?\p{Lu}(?>[^\p{Thai}\n]*?\p{Ll} \p{Ll})(?>[^\p{Thai}\n]*?[.!?])"),
+            Rule(True, r"\p{Thai}", r"\s+[“\"(]?\p{Lu}(?>[^\p{Thai}\n]*?\p{Ll} \p{Ll})(?>[^\p{Thai}\n]*?[.!?])", far=True),
             Rule(True, r"(?:ครับ|ค่ะ|คะ)", r"\s+[“\"(]?\p{Lu}"),
             Rule(False, r"\p{Thai}", r"\s"),
         ],
@@ -184,11 +187,18 @@ _FUNCTION = regex.compile(rf"(?i)\b(?:{_words(' '.join(sorted({w for ws in FUNCT
 _SPEAKERS = {w: [lang for lang, ws in FUNCTION_WORDS.items() if w in ws.split()] for ws in FUNCTION_WORDS.values() for w in ws.split()}
 
 
+#: How far a rule looks before a candidate's marks and after the white space behind it. Without an end, the matcher may
+#: search a whole text for a letter that a rule needs, at every candidate.
+REACH = 128
+_SPACE = regex.compile(r"\s*+")
+
+
 class _Ready(NamedTuple):
     breaks: bool
     before: regex.Pattern
     after: regex.Pattern
     language: str | None
+    far: bool
 
 
 class _Group(NamedTuple):
@@ -221,7 +231,7 @@ def _groups(scripts: frozenset[str], names: tuple[str, ...]) -> list[_Group]:
                 kinds[-1][1].append((r, t.language))
     out = []
     for kind, rules in kinds:
-        ready = [_Ready(r.breaks, _pattern("(?r)" + r.before), _pattern(r.after), lang) for r, lang in rules]
+        ready = [_Ready(r.breaks, _pattern("(?r)" + r.before), _pattern(r.after), lang, r.far) for r, lang in rules]
         one = lambda part: "|".join(f"(?:{getattr(r, part)})" for r, _ in rules)  # noqa: B023, E731
         out.append(_Group(_pattern("(?r)" + one("before")) if kind == "before" else None, _pattern(one("after")) if kind == "after" else None, ready))
     return out
@@ -249,22 +259,24 @@ def _other_languages(block: str) -> frozenset[str]:
 
 def _breaks(text: str, start: int, end: int, names: tuple[str, ...]) -> list[int]:
     """Offsets in a block where a unit ends and another begins, by the first rule that matches at each candidate."""
-    candidates = [m.end() for m in _CANDIDATE.finditer(text, start, end)]
-    if not candidates or candidates == [end]:
+    candidates = [(m.start(), m.end()) for m in _CANDIDATE.finditer(text, start, end)]
+    if not candidates or (len(candidates) == 1 and candidates[0][1] == end):
         return []
     block, others = text[start:end], None
     groups = _groups(_scripts(block), names)
     out = []
-    for at in candidates:
+    for mark, at in candidates:
         if at >= end:
             continue
         found = None
+        first, last = max(start, mark - REACH), min(end, _SPACE.match(text, at, end).end() + REACH)
         for g in groups:
-            if (g.before and not g.before.match(text, start, at)) or (g.after and not g.after.match(text, at, end)):
+            if (g.before and not g.before.match(text, first, at)) or (g.after and not g.after.match(text, at, last)):
                 continue
             for r in g.rules:
                 # first the side that fails more often
-                if (r.before.match(text, start, at) and r.after.match(text, at, end)) if g.before else (r.after.match(text, at, end) and r.before.match(text, start, at)):
+                stop = end if r.far else last
+                if (r.before.match(text, first, at) and r.after.match(text, at, stop)) if g.before else (r.after.match(text, at, stop) and r.before.match(text, first, at)):
                     if r.language:
                         others = _other_languages(block) if others is None else others
                         if r.language in others:
