@@ -85,3 +85,19 @@ def test_bets_find_their_games(spark):
     assert right >= 76 and 900 not in got and 901 not in got and all(0 <= r.confidence <= 1 for r in got.values())
     assert matching.match(df.limit(0), df.limit(0), lines, plan).count() == 0
     assert matching.match(df, df.limit(0), lines.limit(0), plan.limit(0)).count() == 0
+
+
+def test_no_table_is_gathered_in_the_driver(spark):
+    lines, plan, rows = _season(spark)
+    df = spark.createDataFrame([(i, "g", 2025, "9/1/25", f"{r[5]} -3 (opp. {r[4]})", "W", None, None, None, None, "x", 0.0) for i, r in enumerate(rows[:5])], BETS)
+    sides = matching.games(lines, plan)
+    mentions = df.select("sport_key", "season", F.regexp_extract("bet", r"^(\w+)", 1).alias("mention"))
+    for made in (matching.close_names(mentions, sides), matching.candidates(matching.parsed_bets(df, df.limit(0)), sides), matching.match(df, df.limit(0), lines, plan)):
+        assert made.count() and made.collect()
+        assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_codes_stand_for_levels():
+    assert all(set(matching.START[f]) <= set(matching.LEVELS[f]) for f in matching.FIELDS)
+    assert matching.levels_of(0) == ("full", "none", "none", "none", "none")
+    assert matching.levels_of(((((4 * 4 + 1) * 11 + 3) * 10 + 9) * 3 + 2) * 2 + 1) == ("nickname~", "same", "0", "far", "other")

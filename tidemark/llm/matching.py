@@ -41,10 +41,11 @@ NONE_ODDS = 0.5
 #: A pair is reported when its confidence is above this.
 THRESHOLD = 0.5
 
-# Short forms in names, words that a name may be given without, and months.
+# Short forms in names, words that a name may be given without, the lines' margins, and months.
 SHORT = {"st": "state", "n": "north", "no": "north", "s": "south", "so": "south", "e": "east", "w": "west", "u": "university"}
 DIRECTIONS = ["north", "south", "east", "west"]
 SUFFIXES = ["state", "tech", "southern", "a m"]
+MARGINS = ["open_home_margin_raw", "midweek_home_margin_raw", "close_home_margin_raw", "actual_home_margin"]
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 
 _STAKE = r"(?i)\s*(?:\b(?:ml|moneyline|money line|pick'?em|pick|pk|ev(?:en)?)|[+\-−–]\s*[0-9]+(?:[.,][0-9]+)?\s*½?|[+\-−–]\s*½)\s*$"
@@ -198,8 +199,20 @@ def typed_date(text: Column, season: Column) -> Column:
     return F.to_date(F.try_to_timestamp(F.format_string("%04d-%02d-%02d", whole, month, day), F.lit("yyyy-MM-dd")))
 
 
+def _merge(df: DataFrame) -> DataFrame:
+    """To be joined by sorting, whatever its size: a broadcast would be gathered in the driver."""
+    return df.hint("merge")
+
+
+def numbered(lines: DataFrame) -> DataFrame:
+    """One row per game_key (of repeated ones the one with the greatest values), with no: its place among its stream's keys."""
+    rest = ["sport_key", "season", "pt_road", "pt_home", *MARGINS]
+    own = lines.filter(F.col("game_key").isNotNull()).groupBy("game_key").agg(F.max(F.struct(*rest)).alias("_r")).select("game_key", "_r.*")
+    return own.withColumn("no", F.row_number().over(Window.partitionBy("sport_key", "season").orderBy("game_key")))
+
+
 def games(lines: DataFrame, schedule: DataFrame) -> DataFrame:
-    """game_key, sport_key, season, side, team, other, schedule_name, espn_name, kickoff_on, margins: two rows per game.
+    """no, sport_key, season, side, team, other, schedule_name, espn_name, kickoff_on, margins: two rows per game.
 
     A game's latest row in the schedule counts; its sides are set to the lines' by name. A kickoff counts to the evening
     before if it is in the first hours of a UTC day.
@@ -207,10 +220,9 @@ def games(lines: DataFrame, schedule: DataFrame) -> DataFrame:
     plan = schedule.filter(F.col("game_join_key").isNotNull()).groupBy(F.col("game_join_key").alias("game_key")).agg(
         F.max(F.struct("loaded_ts", "kickoff_utc", "away", "home", "espn_away", "espn_home")).alias("p"), F.max_by("kickoff_utc", F.when(F.col("kickoff_utc").isNotNull(), F.col("loaded_ts"))).alias("kickoff_utc")
     )
-    own = lines.filter(F.col("game_key").isNotNull()).dropDuplicates(["game_key"]).join(plan, "game_key", "left")
+    own = numbered(lines).join(_merge(plan), "game_key", "left")
     stem = lambda c: F.lower(F.regexp_extract(F.regexp_replace(c, r"^(?:[NSEWnsew][a-z]*\.?\s+)", ""), r"^(\w+)", 1))
     swapped = F.coalesce((stem(F.col("p.away")) == stem(F.col("pt_home"))) & (stem(F.col("p.away")) != stem(F.col("pt_road"))), F.lit(False))
-    margins = ["open_home_margin_raw", "midweek_home_margin_raw", "close_home_margin_raw", "actual_home_margin"]
     sides = []
     for name, team, other, plain, sign in (("road", "pt_road", "pt_home", ("away", "home"), -1.0), ("home", "pt_home", "pt_road", ("home", "away"), 1.0)):
         a, b = plain
@@ -221,11 +233,11 @@ def games(lines: DataFrame, schedule: DataFrame) -> DataFrame:
                 F.col(other).alias("other"),
                 F.when(swapped, F.col(f"p.{b}")).otherwise(F.col(f"p.{a}")).alias("schedule_name"),
                 F.when(swapped, F.col(f"p.espn_{b}")).otherwise(F.col(f"p.espn_{a}")).alias("espn_name"),
-                *((F.col(m) * sign).alias(n) for m, n in zip(margins, ("open", "midweek", "close", "actual"), strict=True)),
+                *((F.col(m) * sign).alias(n) for m, n in zip(MARGINS, ("open", "midweek", "close", "actual"), strict=True)),
             )
         )
     on = F.to_date(F.col("kickoff_utc") - F.expr("interval 8 hours")).alias("kickoff_on")
-    return own.select("game_key", "sport_key", "season", on, F.explode(F.array(*sides)).alias("s")).select("game_key", "sport_key", "season", "kickoff_on", "s.*").filter(F.col("team").isNotNull())
+    return own.select("no", "sport_key", "season", on, F.explode(F.array(*sides)).alias("s")).select("no", "sport_key", "season", "kickoff_on", "s.*").filter(F.col("team").isNotNull())
 
 
 def near_vectors(asked: DataFrame, held: DataFrame) -> DataFrame:
@@ -237,7 +249,7 @@ def near_vectors(asked: DataFrame, held: DataFrame) -> DataFrame:
     apart = ones(F.col("lo").bitwiseXOR(F.col("lo2")), F.col("hi").bitwiseXOR(F.col("hi2")))
     shared = ones(F.col("lo").bitwiseAND(F.col("lo2")), F.col("hi").bitwiseAND(F.col("hi2")))
     both = ones(F.col("lo"), F.col("hi")) + ones(F.col("lo2"), F.col("hi2"))
-    return a.join(b, ["sport_key", "c", "v", "less"]).filter(apart <= RADIUS).select("sport_key", "name", "alias", (2.0 * shared / both).alias("dice")).distinct()
+    return a.join(_merge(b), ["sport_key", "c", "v", "less"]).filter(apart <= RADIUS).select("sport_key", "name", "alias", (2.0 * shared / both).alias("dice")).distinct()
 
 
 def close_names(mentions: DataFrame, teams: DataFrame) -> DataFrame:
@@ -250,7 +262,7 @@ def close_names(mentions: DataFrame, teams: DataFrame) -> DataFrame:
     said = mentions.select(*stream, "mention").distinct().mapInPandas(_normal_mentions, "sport_key string, season int, mention string, name string").filter("name != ''")
     called = teams.groupBy(*stream, "team").agg(F.max("schedule_name").alias("schedule_name"), F.max("espn_name").alias("espn_name"))
     called = called.mapInPandas(_team_aliases, "sport_key string, season int, team string, alias string, kind string")
-    met = said.join(near_vectors(said, called), ["sport_key", "name"]).join(called, [*stream, "alias"])
+    met = said.join(_merge(near_vectors(said, called)), ["sport_key", "name"]).join(_merge(called), [*stream, "alias"])
     kept = met.filter((F.col("kind") != "letters") | (F.col("name") == F.col("alias")))
     rank = F.when(F.col("name") == F.col("alias"), F.lit(1.0)).otherwise(F.col("dice") * 0.999)
     order = F.struct(rank.alias("dice"), F.when(F.col("kind") == "full", 3).when(F.col("kind") == "nickname", 2).when(F.col("kind") == "part", 1).otherwise(0).alias("o"), "kind")
@@ -278,39 +290,62 @@ START = {
 }
 
 
+#: The levels of each field by number, in which a pair's levels are held.
+LEVELS = {
+    "name_level": [kind + near for kind in ("full", "nickname", "part", "letters") for near in ("", "~", "~~")],
+    "opponent_level": ["none", "same", "same~", "other"],
+    "date_level": ["none", "-2", "-1", "0", "1", "2", "3", "4", "5", "6", "far"],
+    "spread_level": ["none", "0.0", "0.5", "1.0", "1.5", "2.0", "2.5", "3.0", "4.0", "far"],
+    "result_level": ["none", "same", "other"],
+}
+SIDES = ["road", "home"]
+
+
+def levels_of(code: int) -> tuple[str, ...]:
+    """The levels of FIELDS that a code stands for."""
+    code, out = code // len(SIDES), []
+    for f in reversed(FIELDS):
+        code, i = divmod(code, len(LEVELS[f]))
+        out.append(LEVELS[f][i])
+    return tuple(reversed(out))
+
+
 def candidates(bets: DataFrame, sides: DataFrame) -> DataFrame:
-    """bet_id, game_key, side and the levels of FIELDS: every bet with every game of every team that it may name."""
+    """bet_id, no, code, score: every bet with every game of every team that it may name.
+
+    A game is given by its number in the bet's stream, its side and the levels of FIELDS by one code.
+    """
     stream = ["sport_key", "season"]
     own = bets.filter(F.col("team").isNotNull())
     mentions = own.select(*stream, F.explode(F.array_compact(F.array("team", "opponent"))).alias("mention"))
     names = checkpoint(close_names(mentions, sides))
     # one team may have a third of all bets: names and games are repeated for every salt, and a bet meets those of its own
     salted = lambda df: df.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    meant = salted(names.select(*stream, F.col("mention").alias("team"), F.col("team").alias("_team"), "dice", "kind"))
-    g = salted(sides.select(*stream, F.col("team").alias("_team"), F.col("other").alias("_other"), "game_key", "side", "kickoff_on", "open", "midweek", "close", "actual"))
-    pairs = own.withColumn("_salt", F.pmod(F.xxhash64("bet_id"), F.lit(SALTS)).cast("int")).join(meant, [*stream, "team", "_salt"]).join(g, [*stream, "_team", "_salt"])
-    # the opponent's name, where the bet gives one
-    rivals = names.select(*stream, F.col("mention").alias("opponent"), F.col("team").alias("_other"), ((F.col("dice") == 1.0) & (F.col("kind") == "full")).alias("_met"))
-    told = pairs.filter(F.col("opponent").isNotNull()).join(salted(rivals), [*stream, "opponent", "_other", "_salt"], "left")
-    pairs = pairs.filter(F.col("opponent").isNull()).withColumn("_met", F.lit(None).cast("boolean")).unionByName(told)
+    level = lambda f, c: F.array_position(F.lit(LEVELS[f]), c).cast("int") - 1
+    called = level("name_level", F.concat(F.col("kind"), F.when(F.col("dice") < 0.8, "~~").when(F.col("dice") < 1.0, "~").otherwise("")))
+    meant = salted(names.select(*stream, F.col("mention").alias("team"), F.col("team").alias("_team"), "dice", called.alias("name_level")))
+    g = salted(sides.select(*stream, F.col("team").alias("_team"), F.col("other").alias("_other"), "no", "side", "kickoff_on", "open", "midweek", "close", "actual"))
+    # the teams that the opponent's name may mean, where the bet gives one, and whether they are met in full
+    rivals = names.groupBy(*stream, F.col("mention").alias("opponent")).agg(F.map_from_entries(F.collect_list(F.struct("team", (F.col("dice") == 1.0) & (F.col("kind") == "full")))).alias("_rivals"))
+    own = own.withColumn("_salt", F.pmod(F.xxhash64("bet_id"), F.lit(SALTS)).cast("int")).join(_merge(salted(rivals)), [*stream, "opponent", "_salt"], "left")
+    pairs = own.join(_merge(meant), [*stream, "team", "_salt"]).join(_merge(g), [*stream, "_team", "_salt"]).withColumn("_met", F.try_element_at("_rivals", F.col("_other")))
     days = F.date_diff("kickoff_on", "bet_on")
     apart = F.least(*(F.abs(F.col("spread") + F.col(m)) for m in ("open", "midweek", "close")))
-    steps = F.ceil(apart * 2) / F.lit(2.0)
-    near = F.when(steps <= 3.0, steps.cast("string")).when(steps <= 4.0, "4.0").otherwise("far")
+    halves = F.ceil(apart * 2)
     margin = F.col("actual") + F.when(F.col("is_ml"), F.lit(0.0)).otherwise(F.col("spread"))
     graded = F.when(margin > 0, "W").when(margin < 0, "L").when(margin == 0, "P")
-    return pairs.select(
-        "bet_id",
-        "game_key",
-        "side",
-        "dice",
-        F.concat(F.col("kind"), F.when(F.col("dice") < 0.8, "~~").when(F.col("dice") < 1.0, "~").otherwise("")).alias("name_level"),
-        F.when(F.col("opponent").isNull(), "none").when(F.col("_met"), "same").when(F.col("_met").isNotNull(), "same~").otherwise("other").alias("opponent_level"),
-        F.when(days.isNull(), "none").when(days.between(-2, 6), days.cast("string")).otherwise("far").alias("date_level"),
-        F.when(F.col("is_ml") | apart.isNull(), "none").otherwise(near).alias("spread_level"),
-        F.when(graded.isNull() | F.col("result").isNull(), "none").when(graded == F.col("result"), "same").otherwise("other").alias("result_level"),
-        (F.col("dice") + F.coalesce(_neighbour_dice(days - 2, 7.0), F.lit(0.5)) + F.coalesce(_neighbour_dice(apart, 7.0), F.lit(0.5))).alias("score"),
-    )
+    numbers = {
+        "name_level": F.col("name_level"),
+        "opponent_level": F.when(F.col("opponent").isNull(), 0).when(F.col("_met"), 1).when(F.col("_met").isNotNull(), 2).otherwise(3),
+        "date_level": F.when(days.isNull(), 0).when(days.between(-2, 6), days + 3).otherwise(10),
+        "spread_level": F.when(F.col("is_ml") | apart.isNull(), 0).when(halves <= 6, halves.cast("int") + 1).when(halves <= 8, 8).otherwise(9),
+        "result_level": F.when(graded.isNull() | F.col("result").isNull(), 0).when(graded == F.col("result"), 1).otherwise(2),
+    }
+    code = F.lit(0)
+    for f in FIELDS:
+        code = code * len(LEVELS[f]) + numbers[f]
+    score = F.col("dice") + F.coalesce(_neighbour_dice(days - 2, 7.0), F.lit(0.5)) + F.coalesce(_neighbour_dice(apart, 7.0), F.lit(0.5))
+    return pairs.select("bet_id", "no", (code * len(SIDES) + (F.col("side") == "home").cast("int")).alias("code"), score.alias("score"))
 
 
 def fit(counts: list[tuple[tuple[str, ...], float]], share: float) -> dict[str, dict[str, float]]:
@@ -369,23 +404,27 @@ def match(matches: DataFrame, unmatched: DataFrame, lines: DataFrame, schedule:
     share it. Null names, dates, spreads and results are levels of their own that tell little. An empty table gives no
     rows; other columns are ignored.
     """
-    pairs = checkpoint(candidates(parsed_bets(matches, unmatched), games(lines, schedule)))
-    rows = pairs.groupBy(*FIELDS).agg(F.count("*").alias("n")).collect()  # at most some thousand combinations
+    bets = parsed_bets(matches, unmatched)
+    pairs = checkpoint(candidates(bets, games(lines, schedule)))
+    rows = pairs.groupBy((F.col("code") - F.col("code") % len(SIDES)).alias("code")).agg(F.count("*").alias("n")).collect()  # at most some thousand combinations
     n_bets = pairs.agg(F.count_distinct("bet_id")).first()[0]
-    counts = [(tuple(r[f] for f in FIELDS), float(r["n"])) for r in rows]
+    counts = [(levels_of(r["code"]), float(r["n"])) for r in sorted(rows)]
     weights = fit(counts, min(0.5, 0.6 * n_bets / max(1.0, sum(n for _, n in counts)))) if counts else {}
-    odds = F.lit(0.0)
-    for f in FIELDS:
-        level = F.lit(0.0)
-        for x, w in weights.get(f, {}).items():
-            level = F.when(F.col(f) == x, w).otherwise(level)
-        odds = odds + level
-    w = Window.partitionBy("bet_id")
+    odds, rest = F.lit(0.0), F.floor(F.col("code") / len(SIDES)).cast("int")
+    for f in reversed(FIELDS):
+        level = rest % len(LEVELS[f])
+        odds = odds + F.get(F.lit([weights.get(f, {}).get(x, 0.0) for x in LEVELS[f]]), level)
+        rest = F.floor(rest / len(LEVELS[f])).cast("int")
+    told = pairs.withColumn("odds", F.exp(F.least(odds, F.lit(60.0))))
     # each candidate against "none of them"; how often that holds is taken from a first round over all bets
-    told = pairs.withColumn("odds", F.exp(F.least(odds, F.lit(60.0)))).withColumn("each", F.col("odds") / F.count("*").over(w))
-    first = told.groupBy("bet_id").agg((F.lit(NONE_ODDS) / (F.sum("each") + NONE_ODDS)).alias("p")).agg(F.avg("p")).first()[0] or 0.0
+    first = told.groupBy("bet_id").agg(F.avg("odds").alias("each")).agg(F.avg(F.lit(NONE_ODDS) / (F.col("each") + NONE_ODDS))).first()[0] or 0.0
     none = min(max(first, 1e-3), 0.5) / (1 - min(max(first, 1e-3), 0.5))
-    told = told.withColumn("confidence", F.col("each") / (F.sum("each").over(w) + F.lit(none)))
-    best = told.groupBy("bet_id", "game_key").agg(F.sum("confidence").alias("confidence"), F.max("score").alias("score"), F.max_by("side", "odds").alias("side"))
-    by = Window.partitionBy("bet_id").orderBy(F.col("confidence").desc(), "game_key")
-    return best.withColumn("_r", F.row_number().over(by)).filter("_r = 1").select("bet_id", "game_key", "side", "confidence", "score")
+    w = Window.partitionBy("bet_id")
+    side = F.element_at(F.lit(SIDES), F.max_by("code", "odds") % len(SIDES) + 1)
+    by_game = told.repartition("bet_id").groupBy("bet_id", "no").agg(F.sum("odds").alias("odds"), F.count("*").alias("n"), F.max("score").alias("score"), side.alias("side"))
+    all_n = F.sum("n").over(w)
+    best = by_game.withColumn("confidence", F.col("odds") / all_n / (F.sum("odds").over(w) / all_n + F.lit(none)))
+    by = Window.partitionBy("bet_id").orderBy(F.col("confidence").desc(), "no")
+    best = best.withColumn("_r", F.row_number().over(by)).filter("_r = 1").join(_merge(bets.select("bet_id", "sport_key", "season")), "bet_id")
+    keys = numbered(lines).select("sport_key", "season", "no", "game_key")
+    return best.join(_merge(keys), ["sport_key", "season", "no"]).select("bet_id", "game_key", "side", "confidence", "score")
