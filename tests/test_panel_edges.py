@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import random
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pytest
@@ -23,6 +25,26 @@ def _panel(spark, rows):
     return spark.createDataFrame([("g", 2025, 1, g, m, m, p, k, a, o, "pt_mirror", "r", "h", T0 + dt.timedelta(days=d), "x") for g, m, p, k, a, o, d in rows], PANEL)
 
 
+def _half_means(seed):
+    """100 lists of 16 numbers whose means lie halfway between two numbers of 6 decimals, and the means rounded."""
+    rnd, out = random.Random(seed), []
+    while len(out) < 100:
+        m = [rnd.randint(-30000, 30000) for _ in range(16)]
+        if sum(m) % 2:
+            out.append(([x / 1000 for x in m], float((Decimal(sum(m)) / 16000).quantize(Decimal("0.000001"), ROUND_HALF_UP))))
+    return out
+
+
+def test_board_means_halfway(spark, tmp_path):
+    from tidemark.plans import panel
+
+    sets = _half_means(3)
+    rows = [("g", 2025, 1, f"s{i}", f"r{k}", "h", k, 1.0, x) for i, (xs, _) in enumerate(sets) for k, x in enumerate(xs)]
+    spark.createDataFrame(rows, "sport_key string, season int, wk int, snapshot_label string, road string, home string, row_id int, line double, linea double").write.parquet(f"{tmp_path}/ncaapredictions.parquet")
+    got = {r.snapshot_label: r["mean"] for r in panel.board_long(spark, str(tmp_path)).collect()}
+    assert got == {f"s{i}": mean for i, (_, mean) in enumerate(sets)}
+
+
 def test_latest_orientation_and_grades(spark):
     nan = float("nan")
     rows = [

@@ -70,6 +70,11 @@ def robust_consensus(cell: DataFrame, fraction: float = 0.1, median_weight: floa
     return agg.select("game_key", "n", F.round("w", 6).alias("winsorized"), F.round(median_weight * F.col("m") + (1 - median_weight) * F.col("w"), 6).alias("hybrid"), F.round("mad", 6).alias("mad"))
 
 
+def settled(c: Column, digits: int = 6) -> Column:
+    """A mean rounded half up, alike in whatever order it was summed: what the order leaves open lies beyond 12 decimals."""
+    return F.round(F.round(c, 12), digits)
+
+
 def edge(forecast: Column, market: Column) -> Column:
     return F.round(forecast - market, DIGITS)
 

@@ -331,7 +331,7 @@ def stable_k(spark, d):
 def board_long(spark, d):
     b = table(spark, d, "ncaapredictions")
     cols = boards.model_columns(b)
-    return boards.wide_to_long(boards.board_records(b), cols).groupBy("snapshot_label", "board_column").agg(F.count("*").alias("n"), F.round(F.avg("pred"), 6).alias("mean"))
+    return boards.wide_to_long(boards.board_records(b), cols).groupBy("snapshot_label", "board_column").agg(F.count("*").alias("n"), C.settled(F.avg("pred")).alias("mean"))
 
 
 def board_consensus(spark, d):
