@@ -45,6 +45,14 @@ def test_board_means_halfway(spark, tmp_path):
     assert got == {f"s{i}": mean for i, (_, mean) in enumerate(sets)}
 
 
+def test_weighted_means_halfway(spark):
+    sets = _half_means(4)
+    rows = [("g", 2025, 1, f"w{i}", f"m{k}", x, 0.0, 0.0) for i, (xs, _) in enumerate(sets) for k, x in enumerate(xs)]
+    cell = spark.createDataFrame(rows, "sport_key string, season int, wk int, game_key string, model string, pred double, market double, actual double")
+    got = {r.game_key: r.weighted for r in walkforward.inverse_mse(cell).collect()}
+    assert got == {f"w{i}": mean for i, (_, mean) in enumerate(sets)}
+
+
 def test_latest_orientation_and_grades(spark):
     nan = float("nan")
     rows = [

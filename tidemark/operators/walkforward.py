@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators.consensus import DIGITS, edge
+from tidemark.operators.consensus import DIGITS, edge, settled
 
 PERIOD = ["sport_key", "season", "wk"]
 
@@ -73,7 +73,7 @@ def inverse_mse(cell: DataFrame, least: int = 20, low: float = 0.5, high: float
     mean = j.groupBy("game_key").agg(F.avg("inv").alias("m"))
     rel = F.when(F.col("inv").isNull(), 1.0).otherwise(F.greatest(F.lit(low), F.least(F.lit(high), F.col("inv") / F.col("m"))))
     w = j.join(mean, "game_key").withColumn("w", rel)
-    return w.groupBy("game_key").agg(F.count("*").alias("n"), F.round(F.sum(F.col("w") * F.col("pred")) / F.sum("w"), 6).alias("weighted"))
+    return w.groupBy("game_key").agg(F.count("*").alias("n"), settled(F.sum(F.col("w") * F.col("pred")) / F.sum("w")).alias("weighted"))
 
 
 def market_lambda(games: DataFrame, least: int = 30, most: float = 1.5) -> DataFrame:
